@@ -59,11 +59,11 @@ def text_key(text: str = "text") -> Column:
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the row key (k_id never null, k_text); the names can't clash with columns of docs."""
+    """doc_id, text and the row key (k_id: doc_id, or the largest long for null; k_text); the names can't clash with columns of docs."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("k_id"),
         text_key().alias("k_text"),
     )
 
@@ -71,7 +71,7 @@ def with_key(docs: DataFrame) -> DataFrame:
 def with_row(docs: DataFrame) -> DataFrame:
     """The row key beside the whole row as a struct `row`, so that no column of docs can clash with it."""
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("k_id"),
         text_key().alias("k_text"),
         F.struct("*").alias("row"),
     )
@@ -140,3 +140,44 @@ def tokens(data: np.ndarray, offs: np.ndarray, words: bool = False) -> tuple[np.
     value = (data.astype(U64) + U64(1)) * _POW[pos]
     value[~inside] = 0
     return starts, mix(np.add.reduceat(value, starts))
+
+
+def group_by_part(rec: np.ndarray, hashed: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows (part, rows) for a shuffle of packed records: one blob of rec for each of `parts` hash partitions."""
+    part = (mix(hashed) % U64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    rec, part = rec[order], part[order]
+    ids, first = np.unique(part, return_index=True)
+    blobs = [rec[i:j].tobytes() for i, j in zip(first, [*first[1:], len(rec)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "rows"])
+
+
+def unpack(table: pa.Table, kind: np.dtype) -> np.ndarray:
+    """The records of all blobs of a partition."""
+    return np.concatenate([np.frombuffer(x, kind) for x in table.column("rows").to_pylist()])
+
+
+def runs(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Positions where a run of equal rows begins."""
+    n = len(sorted_columns[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    new = np.zeros(n, bool)
+    new[0] = True
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int = 24) -> np.ndarray:
+    """Fixed 2**bits bits (2 MB), those of the hashes set: a prefilter that grows with nothing; before an exact join."""
+    at = F.shiftrightunsigned(F.col(column), 64 - bits)
+    rows = hashes.groupBy(F.shiftrightunsigned(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")).alias("v")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64)
+    return out.view(U64)
+
+
+def hits(filter_: np.ndarray, hashes: np.ndarray, bits: int = 24) -> np.ndarray:
+    at = hashes.astype(U64, copy=False) >> U64(64 - bits)
+    return (filter_[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & U64(1)).astype(bool)
