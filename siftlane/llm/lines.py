@@ -4,7 +4,7 @@ A line (text between newlines) is the set of its lower-case tokens, split by ASC
 lines with Jaccard >= threshold the later is removed, in the order of doc_id (null last), then of the
 text's hash, then of the line number; whether the earlier line is itself removed makes no difference.
 
-The join is prefix filtering with positional and length filters. Tokens are ordered by rarity: counts of
+The join is prefix filtering with positional, length and bitmap filters. Tokens are ordered by rarity: counts of
 all the corpus's tokens, in a table of 2**20 hashed cells whose size never grows (tokens that share a
 cell share a count, which changes their order alone, never the result). Equal sets are grouped first,
 so that the join sees each set once. Token identity is a 58-bit hash.
@@ -83,10 +83,12 @@ class Lines:
         self.size = np.diff(self.first, append=len(gid))
         self.doc, self.line, self.n = doc[at], line[at], len(at)
         self.sig = mix(np.add.reduceat(mix(self.key), self.first) ^ self.size.astype(U64))
+        self.bits = np.bitwise_xor.reduceat(U64(1) << (self.key & U64(63)), self.first)
 
 
 _OCC = np.dtype([("sig", "<u8"), ("id", "<i8"), ("text", "<i8"), ("line", "<i4")])
-_ENTRY = np.dtype([("token", "<u8"), ("sig", "<u8"), ("n", "<u4"), ("pos", "<u4")])
+_ENTRY = np.dtype([("token", "<u8"), ("sig", "<u8"), ("bits", "<u8"), ("n_pos", "<u4")])
+_MAX_N, _MAX_POS = (1 << 20) - 1, (1 << 12) - 1  # beyond these the filters let a pair pass
 
 
 def _signatures(rank: np.ndarray, num: int, den: int, parts: int):
@@ -108,7 +110,8 @@ def _signatures(rank: np.ndarray, num: int, den: int, parts: int):
                 owner = np.repeat(np.arange(len(one)), prefix)
                 pos = np.arange(len(owner)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
                 e = np.empty(len(owner), _ENTRY)
-                e["token"], e["sig"], e["n"], e["pos"] = x.key[x.first[one][owner] + pos], x.sig[one][owner], n[owner], pos
+                e["token"], e["sig"], e["bits"] = x.key[x.first[one][owner] + pos], x.sig[one][owner], x.bits[one][owner]
+                e["n_pos"] = np.minimum(n, _MAX_N)[owner] << 12 | np.minimum(pos, _MAX_POS)
                 entries.append(e)
             for kind, recs, name in ((0, occs, "sig"), (1, entries, "token")):
                 if recs:
@@ -123,27 +126,40 @@ _PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()),
 _PAIRS_SQL = "kind int, a long, b long, k_id long, k_text long, line int, m_id long, m_text long, m_line int"
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    o = np.lexsort((b, a))
+    at = o[runs(a[o], b[o])]
+    return a[at], b[at]
+
+
 def _candidates(num: int, den: int, step: int = 1 << 22):
     """Of a partition of occurrences: the first of each set (kind 0) and each later one with its first (kind 1).
-    Of a partition of prefix entries: pairs of sets that pass the length and positional filters (kind 2)."""
+    Of a partition of prefix entries: pairs of sets that pass the length and positional filters (kind 2) and
+    the bitmap filter: a token flips one of 64 bits, so that bits differ in no more places than sets do."""
 
-    def firsts(o: np.ndarray) -> list:
+    def firsts(o: np.ndarray) -> dict:
         o = o[np.lexsort((o["line"], o["text"], o["id"], o["sig"]))]
         o = o[runs(o["sig"], o["id"], o["text"], o["line"])]
         at = runs(o["sig"])
         owner = np.repeat(at, np.diff(at, append=len(o)))
-        return [(owner != np.arange(len(o))).astype(np.int32), o["sig"].view(np.int64), np.zeros(len(o), np.int64), o["id"], o["text"], o["line"], o["id"][owner], o["text"][owner], o["line"][owner]]
+        late = owner != np.arange(len(o))
+        match = {f"m_{c}": pa.array(o[c][owner], mask=~late) for c in ("id", "text", "line")}
+        return {"kind": late, "a": o["sig"].view(np.int64), "k_id": o["id"], "k_text": o["text"], "line": o["line"]} | match
 
-    def pairs(e: np.ndarray) -> list:
-        e = e[np.lexsort((e["sig"], e["n"], e["token"]))]
+    def pairs(e: np.ndarray) -> dict:
+        e = e[np.argsort(e["token"])]
+        at = runs(e["token"])
+        size = np.diff(at, append=len(e))
+        e = e[np.repeat(size > 1, size)]
+        e = e[np.lexsort((e["sig"], e["n_pos"] >> np.uint32(12), e["token"]))]
         e = e[runs(e["token"], e["sig"])]
         at = runs(e["token"])
         group = np.repeat(np.arange(len(at)), np.diff(at, append=len(e)))
-        n, pos = e["n"].astype(np.int64), e["pos"].astype(np.int64)
-        far = np.searchsorted(group << 32 | n, group << 32 | den * n // num, side="right")
+        n, pos = (e["n_pos"] >> np.uint32(12)).astype(np.int64), (e["n_pos"] & np.uint32(_MAX_POS)).astype(np.int64)
+        far = np.searchsorted(group << 32 | n, group << 32 | np.where(n == _MAX_N, _MAX_N, den * n // num), side="right")
         count = far - np.arange(len(e)) - 1
         ends = np.cumsum(count)
-        found = []
+        found = [(np.zeros(0, U64), np.zeros(0, U64))]
         i = 0
         while i < len(e):
             j = max(i + 1, int(np.searchsorted(ends, ends[i] - count[i] + step, side="right")))
@@ -152,18 +168,21 @@ def _candidates(num: int, den: int, step: int = 1 << 22):
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
             need = -(-num * (n[a] + n[b]) // (num + den))
             ok = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need
-            if ok.any():
-                s, t = e["sig"][a[ok]], e["sig"][b[ok]]
-                found.append(np.unique(np.stack([np.minimum(s, t), np.maximum(s, t)], axis=1), axis=0))
+            ok &= np.bitwise_count(e["bits"][a] ^ e["bits"][b]) <= n[a] + n[b] - 2 * need
+            ok |= n[b] == _MAX_N
+            s, t = e["sig"][a[ok]], e["sig"][b[ok]]
+            found.append(_distinct(np.minimum(s, t), np.maximum(s, t)))
             i = j
-        p = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), U64)
-        none = np.zeros(len(p), np.int64)
-        return [np.full(len(p), 2, np.int32), *(np.ascontiguousarray(p[:, k]).view(np.int64) for k in (0, 1)), none, none, none.astype(np.int32), none, none, none.astype(np.int32)]
+        s, t = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        return {"kind": np.full(len(s), 2), "a": s.view(np.int64), "b": t.view(np.int64)}
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
         columns = firsts(unpack(table, _OCC)) if kind == 0 else pairs(unpack(table, _ENTRY))
-        return pa.Table.from_arrays([pa.array(np.ascontiguousarray(c), f.type) for c, f in zip(columns, _PAIRS, strict=True)], schema=_PAIRS)
+        n = len(columns["a"])
+        made = [columns.get(f.name, pa.nulls(n, f.type)) for f in _PAIRS]
+        made = [c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in made]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(made, _PAIRS, strict=True)], schema=_PAIRS)
 
     return run
 
