@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from siftlane.llm import chat, digest, langid, lines, mixing, packing, sharding, simhash, topk
+from siftlane.llm import chat, digest, hpylm, langid, lines, mixing, packing, sharding, simhash, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.perplexity(_read(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_read(spark, sf_dir, "conversations"))
 
@@ -63,6 +67,7 @@ _QUERIES = (
     op5_simhash_near_dedup,
     op6_exact_topk,
     op7_best_fit_packing,
+    op8_lm_scoring,
     op9_chat_format,
     op10_sharding,
     pipeline,
