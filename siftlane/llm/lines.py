@@ -12,6 +12,7 @@ so that the join sees each set once. Token identity is a 58-bit hash.
 
 from __future__ import annotations
 
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -37,7 +38,7 @@ def _count(batches):
         for b in range(0, _CELLS, _BLOCK):
             part = total[b : b + _BLOCK]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32()), pa.array([small], pa.bool_()), pa.array([(part.astype(np.int32) if small else part).tobytes()], pa.binary())],
+                [pa.array([b], pa.int32()), pa.array([small], pa.bool_()), pa.array([zlib.compress((part.astype(np.int32) if small else part).tobytes(), 1)], pa.binary())],
                 names=["block", "small", "counts"],
             )
 
@@ -45,7 +46,7 @@ def _count(batches):
 def _add(table: pa.Table) -> pa.Table:
     total = np.zeros(_BLOCK, np.int64)
     for small, x in zip(table.column("small").to_pylist(), table.column("counts").to_pylist(), strict=True):
-        total += np.frombuffer(x, np.int32 if small else np.int64)
+        total += np.frombuffer(zlib.decompress(x), np.int32 if small else np.int64)
     rank = np.minimum(63, np.ceil(2 * np.log2(total + 1))).astype(np.uint8)
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "rank": pa.array([rank.tobytes()], pa.binary())})
 
@@ -87,10 +88,16 @@ class Lines:
 
 
 _OCC = np.dtype([("sig", "<u8"), ("id", "<i8"), ("text", "<i8"), ("line", "<i4")])
-_ENTRY = np.dtype([("token", "<u8"), ("sig", "<u8"), ("bits", "<u8"), ("n_pos", "<u4")])
+_ENTRY = np.dtype([("token", "<u8"), ("sig", "<u8"), ("bits", "<u8"), ("n_pos", "<u4"), ("age", "<u4")])
 _MAX_N, _MAX_POS = (1 << 20) - 1, (1 << 12) - 1  # beyond these the filters let a pair pass
 
 
+def _age(ids: np.ndarray) -> np.ndarray:
+    """32 bits that never fall as doc_id rises: the order of the entries, where equal ages count both ways."""
+    x = ids.astype(np.float64).view(np.int64)
+    return ((np.where(x < 0, ~x, x ^ np.int64(-(2**63))).view(U64)) >> U64(32)).astype(np.uint32)
+
+
 def _signatures(rank: np.ndarray, num: int, den: int, parts: int):
     def run(batches):
         for batch in batches:
@@ -104,13 +111,14 @@ def _signatures(rank: np.ndarray, num: int, den: int, parts: int):
                 occ = np.empty(x.n, _OCC)
                 occ["sig"], occ["id"], occ["text"], occ["line"] = x.sig, ids[row + x.doc], text[row + x.doc], x.line
                 occs.append(occ)
-                _, one = np.unique(x.sig, return_index=True)
-                n = x.size[one]
+                _, one = np.unique(x.sig, return_index=True)  # the first line of each set
+                n, age = x.size[one], _age(np.minimum.reduceat(occ["id"][np.argsort(x.sig, kind="stable")], runs(np.sort(x.sig))))
                 prefix = n - -(-num * n // den) + 1
                 owner = np.repeat(np.arange(len(one)), prefix)
                 pos = np.arange(len(owner)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
                 e = np.empty(len(owner), _ENTRY)
                 e["token"], e["sig"], e["bits"] = x.key[x.first[one][owner] + pos], x.sig[one][owner], x.bits[one][owner]
+                e["age"] = age[owner]
                 e["n_pos"] = np.minimum(n, _MAX_N)[owner] << 12 | np.minimum(pos, _MAX_POS)
                 entries.append(e)
             for kind, recs, name in ((0, occs, "sig"), (1, entries, "token")):
@@ -122,20 +130,21 @@ def _signatures(rank: np.ndarray, num: int, den: int, parts: int):
     return run
 
 
-_PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("k_id", pa.int64()), ("k_text", pa.int64()), ("line", pa.int32()), ("m_id", pa.int64()), ("m_text", pa.int64()), ("m_line", pa.int32())])
-_PAIRS_SQL = "kind int, a long, b long, k_id long, k_text long, line int, m_id long, m_text long, m_line int"
+_PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int32()), ("others", pa.list_(pa.int64())), ("k_id", pa.int64()), ("k_text", pa.int64()), ("line", pa.int32()), ("m_id", pa.int64()), ("m_text", pa.int64()), ("m_line", pa.int32())])
+_PAIRS_SQL = "kind int, a long, b long, apart int, others array<long>, k_id long, k_text long, line int, m_id long, m_text long, m_line int"
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, ...]:
     o = np.lexsort((b, a))
     at = o[runs(a[o], b[o])]
-    return a[at], b[at]
+    return a[at], b[at], apart[at]
 
 
 def _candidates(num: int, den: int, step: int = 1 << 22):
     """Of a partition of occurrences: the first of each set (kind 0) and each later one with its first (kind 1).
-    Of a partition of prefix entries: pairs of sets that pass the length and positional filters (kind 2) and
-    the bitmap filter: a token flips one of 64 bits, so that bits differ in no more places than sets do."""
+    Of a partition of prefix entries (kind 2): for each set those of earlier lines that pass the length and positional
+    filters and the bitmap filter (a token flips one of 64 bits, so that bits differ in no more places than sets do),
+    fewest differing bits first."""
 
     def firsts(o: np.ndarray) -> dict:
         o = o[np.lexsort((o["line"], o["text"], o["id"], o["sig"]))]
@@ -151,7 +160,7 @@ def _candidates(num: int, den: int, step: int = 1 << 22):
         at = runs(e["token"])
         size = np.diff(at, append=len(e))
         e = e[np.repeat(size > 1, size)]
-        e = e[np.lexsort((e["sig"], e["n_pos"] >> np.uint32(12), e["token"]))]
+        e = e[np.lexsort((e["age"], e["sig"], e["n_pos"] >> np.uint32(12), e["token"]))]
         e = e[runs(e["token"], e["sig"])]
         at = runs(e["token"])
         group = np.repeat(np.arange(len(at)), np.diff(at, append=len(e)))
@@ -159,7 +168,7 @@ def _candidates(num: int, den: int, step: int = 1 << 22):
         far = np.searchsorted(group << 32 | n, group << 32 | np.where(n == _MAX_N, _MAX_N, den * n // num), side="right")
         count = far - np.arange(len(e)) - 1
         ends = np.cumsum(count)
-        found = [(np.zeros(0, U64), np.zeros(0, U64))]
+        found = [(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.uint8))]
         i = 0
         while i < len(e):
             j = max(i + 1, int(np.searchsorted(ends, ends[i] - count[i] + step, side="right")))
@@ -167,14 +176,19 @@ def _candidates(num: int, den: int, step: int = 1 << 22):
             a = np.repeat(np.arange(i, j), c)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
             need = -(-num * (n[a] + n[b]) // (num + den))
-            ok = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need
-            ok &= np.bitwise_count(e["bits"][a] ^ e["bits"][b]) <= n[a] + n[b] - 2 * need
-            ok |= n[b] == _MAX_N
-            s, t = e["sig"][a[ok]], e["sig"][b[ok]]
-            found.append(_distinct(np.minimum(s, t), np.maximum(s, t)))
+            apart = np.bitwise_count(e["bits"][a] ^ e["bits"][b])
+            ok = (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need) & (apart <= n[a] + n[b] - 2 * need) | (n[b] == _MAX_N)
+            a, b, apart = a[ok], b[ok], apart[ok]
+            for late, early in ((a, b), (b, a)):
+                way = e["age"][late] >= e["age"][early]
+                found.append(_distinct(e["sig"][late[way]], e["sig"][early[way]], apart[way]))
             i = j
-        s, t = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        return {"kind": np.full(len(s), 2), "a": s.view(np.int64), "b": t.view(np.int64)}
+        late, early, apart = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        at = runs(late)
+        ends = np.append(at, len(late)).astype(np.int32)
+        order = np.lexsort((early, apart, late))
+        others = pa.ListArray.from_arrays(pa.array(ends), pa.array(early[order].view(np.int64)))
+        return {"kind": np.full(len(at), 2), "a": late[at].view(np.int64), "b": early[order][at].view(np.int64), "apart": apart[order][at], "others": others}
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
@@ -206,6 +220,28 @@ def _sets(rank: np.ndarray, docs_filter: np.ndarray, sig_filter: np.ndarray):
     return run
 
 
+def _verified(keyed: DataFrame, rank: np.ndarray, pairs: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) those where a's line comes later and whose Jaccard is at least num / den, with both keys.
+
+    The texts are read once more, for the sets of these lines alone."""
+    sigs = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    firsts = materialize(first.join(sigs, "sig"), "firsts")
+    a, b = (firsts.select(F.col("sig").alias(s), F.col("key").alias(f"k{s}")) for s in "ab")
+    pairs = materialize(pairs.join(a, "a").join(b, "b").where("ka > kb"), "pairs")
+    asked = materialize(pairs.select(F.col("a").alias("sig"), F.col("ka.k_text").alias("h")).unionByName(pairs.select(F.col("b").alias("sig"), F.col("kb.k_text").alias("h"))).distinct(), "asked")
+    sets = (
+        keyed.select("k_text", "text")
+        .mapInArrow(_sets(rank, bitmap(asked, "h"), bitmap(asked, "sig")), "sig long, tokens array<long>")
+        .join(asked.select("sig").distinct(), "sig", "left_semi")
+        .groupBy("sig")
+        .agg(F.any_value("tokens").alias("tokens"))
+    )
+    sets = materialize(sets, "sets")
+    a, b = (sets.select(F.col("sig").alias(s), F.col("tokens").alias(f"t{s}")) for s in "ab")
+    both = F.size(F.array_intersect("ta", "tb"))
+    return pairs.join(a, "a").join(b, "b").where(den * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "ka", "kb")
+
+
 # --- the operator ------------------------------------------------------------------------------
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Each line that goes: row key, line (from 0), and key and line of a line that it
@@ -224,23 +260,17 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .applyInArrow(_candidates(num, den), _PAIRS_SQL),
         "lines",
     )
-    pairs = materialize(found.where("kind = 2").select("a", "b").distinct(), "candidates")
-    sigs = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+    near = found.where("kind = 2")
     first = found.where("kind = 0").select(F.col("a").alias("sig"), F.struct("k_id", "k_text", "line").alias("key"))
-    firsts = materialize(first.join(sigs, "sig"), "firsts")
-    sets = materialize(
-        keyed.select("k_text", "text")
-        .mapInArrow(_sets(rank, bitmap(firsts.select(F.col("key.k_text").alias("h")), "h"), bitmap(firsts, "sig")), "sig long, tokens array<long>")
-        .join(sigs, "sig", "left_semi")
-        .groupBy("sig")
-        .agg(F.any_value("tokens").alias("tokens")),
-        "sets",
-    ).join(firsts, "sig")
-    a, b = (sets.select(F.col("sig").alias(s), F.col("tokens").alias(f"t{s}"), F.col("key").alias(f"k{s}")) for s in "ab")
-    both = F.size(F.array_intersect("ta", "tb"))
-    near = pairs.join(a, "a").join(b, "b").where(den * both >= num * (F.size("ta") + F.size("tb") - both))
-    late = near.select(F.greatest("ka", "kb").alias("k"), F.least("ka", "kb").alias("m")).groupBy("k").agg(F.min("m").alias("m"))
-    late = late.select("k.*", F.col("m.k_id").alias("m_id"), F.col("m.k_text").alias("m_text"), F.col("m.line").alias("m_line"))
+    # of each set the likeliest match is verified first; only sets that it doesn't remove have all the others verified
+    best = materialize(near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"), F.sum(F.size("others")).alias("n")), "best")
+    hit = materialize(_verified(keyed, rank, best.select("a", "b"), first, num, den), "hits")
+    rest = near.join(best.where("n > 1").select("a"), "a", "left_semi").join(hit.select("a"), "a", "left_anti")
+    rest = rest.select("a", F.explode("others").alias("b")).distinct().join(best.select("a", "b"), ["a", "b"], "left_anti")
+    rest = materialize(rest, "rest")
+    both = hit if rest.isEmpty() else hit.unionByName(_verified(keyed, rank, rest, first, num, den))
+    late = both.groupBy("ka").agg(F.min("kb").alias("m"))
+    late = late.select("ka.*", F.col("m.k_id").alias("m_id"), F.col("m.k_text").alias("m_text"), F.col("m.line").alias("m_line"))
     # a later copy of a set whose first line has an earlier match still has that first line as a match
     return late.unionByName(found.where("kind = 1").select(*late.columns))
 
