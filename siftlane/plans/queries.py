@@ -4,12 +4,635 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftlane.functions import spans, text as tx
+from siftlane.operators import documents as docs_op
+from siftlane.operators import filenames, inventory, keywords, recognizers, report, search, sections, sessions, verify
+from siftlane.operators.keywords import Keyword
+from siftlane.operators.redact import Redactor, scan, tally
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- keywords ----------------------------------------------------------------------------------
+KEYWORDS = [Keyword("the", "[W-01]"), Keyword("and the", "[W-02]"), Keyword("and"), Keyword("der"), Keyword("les", "[W-03]"), Keyword("la", "[W-03]")]
+_KW = r"(?i)\b(?:and the|the|and|der|les|la)\b"
+#: accented letters as a plain one of the same length: DuckDB's word boundary knows ASCII letters alone
+_ACC = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŒ"
+_NORM = f"translate(text, '{_ACC}', '{'z' * len(_ACC)}')"
+_KW_MAP = "MAP {'the': '[W-01]', 'and the': '[W-02]', 'and': '█████', 'der': '█████', 'les': '[W-03]', 'la': '[W-03]'}"
+_KW_ROWS = "(VALUES (0, 'the', '[W-01]'), (1, 'and the', '[W-02]'), (2, 'and', NULL), (3, 'der', NULL), (4, 'les', '[W-03]'), (5, 'la', '[W-03]')) AS kw(idx, find, replace)"
+_KW_COUNTS = f"""counts AS (
+  SELECT find, replace, count(*)::BIGINT AS count FROM (SELECT unnest(regexp_extract_all({_NORM}, '{_KW}')) AS m FROM documents) JOIN {_KW_ROWS} ON lower(m) = find GROUP BY ALL
+)"""
+
+
+@_query(
+    f"""
+WITH a AS (SELECT doc_id, text, string_split_regex({_NORM}, '{_KW}') AS g, regexp_extract_all({_NORM}, '{_KW}') AS m FROM documents
+), b AS (SELECT doc_id, text, g, m, list_transform(g, lambda x: length(x)) AS gl, list_transform(m, lambda x: length(x)) AS ml FROM a
+), c AS (
+  SELECT doc_id, m, list_transform(range(1, len(g) + 1), lambda i: substr(text, (1 + coalesce(list_sum(gl[1:i - 1]), 0) + coalesce(list_sum(ml[1:i - 1]), 0))::BIGINT, gl[i])
+    || CASE WHEN i <= len(m) THEN {_KW_MAP}[lower(m[i])] ELSE '' END) AS parts FROM b
+)
+SELECT doc_id, array_to_string(parts, '') AS redacted, len(m)::BIGINT AS n_redactions FROM c
+"""
+)
+def kw_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", keywords.redact("text", KEYWORDS).alias("redacted"), keywords.count("text", KEYWORDS).alias("n_redactions"))
+
+
+@_query(f"WITH {_KW_COUNTS} SELECT find, count FROM counts")
+def kw_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.counts(_t(spark, sf_dir, "documents"), "text", KEYWORDS)
+
+
+def _kw_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.table(spark, KEYWORDS).join(kw_counts(spark, sf_dir), "find")
+
+
+@_query(f"WITH {_KW_COUNTS} SELECT find, count FROM counts WHERE replace IS NULL")
+def kw_report_blackout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.blackout(_kw_tally(spark, sf_dir))
+
+
+@_query(f"WITH {_KW_COUNTS} SELECT replace AS pseudonym, count(DISTINCT find)::BIGINT AS aliases, sum(count)::BIGINT AS hits FROM counts WHERE replace IS NOT NULL GROUP BY 1")
+def kw_report_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.replaced(_kw_tally(spark, sf_dir))
+
+
+_NAMES = ["# ENG", "- Ada Lovelace, Ada", "* Grace Hopper", "", "# [OPS]", "Linus", "grace hopper, Linus T", "# BLACKOUT", "Falcon, Apollo", "- falcon", "#", "Nobody", "# ENG", "Alan"]
+_NAMES_SQL = ", ".join(f"({i}, '{n}')" for i, n in enumerate(_NAMES, 1))
+_TERMS = f"""l AS (SELECT i, trim(x) AS x FROM (VALUES {_NAMES_SQL}) AS v(i, x) WHERE trim(x) <> ''
+), h AS (SELECT *, x[1] = '#' AS hd, CASE WHEN x[1] = '#' THEN trim(ltrim(x, '#')) END AS header FROM l
+), g AS (SELECT *, last_value(header IGNORE NULLS) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS grp FROM h
+), t AS (
+  SELECT i, grp, unnest(range(len(p)))::INT AS pos, unnest(p) AS term FROM (
+    SELECT i, grp, list_filter(list_transform(string_split(regexp_replace(x, '^[-*] ', ''), ','), lambda y: trim(y)), lambda y: y <> '') AS p FROM g WHERE NOT hd AND grp <> ''))"""
+
+
+def _names(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_NAMES, 1)), "lineno int, line string")
+
+
+@_query(
+    f"""WITH {_TERMS} SELECT i::INT AS lineno, pos, term AS find,
+  CASE WHEN lower(grp) <> 'blackout' THEN '[' || trim(grp, '[] ') || '-' || lpad((dense_rank() OVER (PARTITION BY grp ORDER BY i))::VARCHAR, 2, '0') || ']' END AS code FROM t"""
+)
+def gen_keywords_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.codes(_names(spark))
+
+
+@_query(f"WITH {_TERMS} SELECT lower(term) AS find, count(*)::BIGINT AS n FROM t GROUP BY 1 HAVING count(*) > 1")
+def duplicate_finds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.duplicate_finds(_names(spark))
+
+
+# --- spans -------------------------------------------------------------------------------------
+@_query(
+    f"""
+WITH a AS (SELECT doc_id, string_split_regex({_NORM}, '{_KW}') AS g, regexp_extract_all({_NORM}, '{_KW}') AS m FROM documents
+), b AS (SELECT doc_id, m, list_transform(g, lambda x: length(x)) AS gl, list_transform(m, lambda x: length(x)) AS ml FROM a WHERE len(m) > 0
+), c AS (SELECT doc_id, m, ml, list_transform(range(1, len(m) + 1), lambda i: (list_sum(gl[1:i]) + coalesce(list_sum(ml[1:i - 1]), 0))::INT) AS s FROM b
+)
+SELECT doc_id, unnest(s) AS s, unnest(list_transform(range(1, len(m) + 1), lambda i: (s[i] + ml[i])::INT)) AS e, unnest(m) AS matched FROM c
+"""
+)
+def span_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents")
+    x = d.select("doc_id", F.explode(spans.find_all("text", keywords.pattern(KEYWORDS), "KW")).alias("x"))
+    return x.select("doc_id", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.text").alias("matched"))
+
+
+def _entity(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", F.explode(recognizers.PATTERNS[entity].find("text", 0)).alias("x")).select("doc_id", F.col("x.text").alias("matched"))
+
+
+_EMAIL = r"(?i)\b[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}\b"
+_CARD = r"(?i)\b(?:\d[ -]?){12,18}\d\b"
+_LUHN = """list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse(d)[i]::INT
+  WHEN reverse(d)[i]::INT > 4 THEN 2 * reverse(d)[i]::INT - 9 ELSE 2 * reverse(d)[i]::INT END)) % 10 = 0"""
+_CARDS = f"SELECT doc_id, m AS matched FROM (SELECT doc_id, m, regexp_replace(m, '[ -]', '', 'g') AS d FROM (SELECT doc_id, unnest(regexp_extract_all({_NORM}, '{_CARD}')) AS m FROM documents)) WHERE {_LUHN}"
+_EMAILS = f"SELECT doc_id, unnest(regexp_extract_all({_NORM}, '{_EMAIL}')) AS matched FROM documents"
+_IPS = """SELECT doc_id, rtrim(m, '.') AS matched FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9.]+')) AS m FROM documents)
+WHERE regexp_full_match(m, '([0-9]{1,3}[.]){3}[0-9]{1,3}[.]*') AND list_bool_and(list_transform(string_split(rtrim(m, '.'), '.'), lambda p: p::INT <= 255))"""
+
+
+@_query(_EMAILS)
+def span_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entity(spark, sf_dir, "EMAIL_ADDRESS")
+
+
+@_query(_IPS)
+def span_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entity(spark, sf_dir, "IP_ADDRESS")
+
+
+@_query(_CARDS)
+def span_card_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entity(spark, sf_dir, "CREDIT_CARD")
+
+
+@_query()
+def span_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entity(spark, sf_dir, "PHONE_NUMBER")
+
+
+REDACTOR = Redactor(("EMAIL_ADDRESS", "CREDIT_CARD", "IP_ADDRESS"), (Keyword("the", "[W-01]"), Keyword("and")))
+_KW2 = r"(?i)\b(?:the|and)\b"
+#: what is found, less keywords inside an address
+_FOUND = f"""found AS (
+  SELECT doc_id, 'EMAIL_ADDRESS' AS entity, matched FROM ({_EMAILS}) UNION ALL SELECT doc_id, 'CREDIT_CARD', matched FROM ({_CARDS}) UNION ALL SELECT doc_id, 'IP_ADDRESS', matched FROM ({_IPS})
+), kws AS (
+  SELECT doc_id, CASE lower(m) WHEN 'the' THEN 'KW_0' ELSE 'KW_1' END AS entity, m AS matched
+  FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace({_NORM}, '{_EMAIL}', '@', 'g'), '{_KW2}')) AS m FROM documents)
+), tally AS (SELECT entity, matched, count(*)::BIGINT AS count FROM (SELECT * FROM found UNION ALL SELECT * FROM kws) GROUP BY ALL)"""
+
+
+@_query(f"WITH {_FOUND} SELECT d.doc_id, (SELECT count(*) FROM (SELECT * FROM found UNION ALL SELECT * FROM kws) f WHERE f.doc_id = d.doc_id)::BIGINT AS n FROM documents d")
+def deoverlap_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(REDACTOR.kept("text")).cast("long").alias("n"))
+
+
+@_query(
+    f"""
+SELECT doc_id, regexp_replace(regexp_replace(text, '{_EMAIL}', '█████', 'g'), '(?i)\\bsecret_key\\b', '[KEY]', 'g') AS redacted,
+  (len(regexp_extract_all(text, '{_EMAIL}')) + len(regexp_extract_all(text, '(?i)\\bsecret_key\\b')))::BIGINT AS n_redactions FROM documents
+"""
+)
+def redact_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Redactor(("EMAIL_ADDRESS",), (Keyword("secret_key", "[KEY]"),))
+    return r.apply(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "redacted", "n_redactions")
+
+
+@_query()
+def redact_all_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Redactor(tuple(sorted(recognizers.REGEX_ENTITIES)), tuple(KEYWORDS))
+    return r.apply(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "redacted", "n_redactions")
+
+
+def _tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tally(_t(spark, sf_dir, "documents").select(REDACTOR.kept("text").alias("spans")))
+
+
+@_query(f"WITH {_FOUND} SELECT entity, count(*)::BIGINT AS n_unique, sum(count)::BIGINT AS hits, 'regex' AS engine FROM tally WHERE entity NOT LIKE 'KW%' GROUP BY 1")
+def entity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.entity_block(_tally(spark, sf_dir))
+
+
+@_query(f"WITH {_FOUND} SELECT entity, regexp_replace(trim(matched), '\\s+', ' ', 'g') AS shown, count FROM tally WHERE entity NOT LIKE 'KW%'")
+def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.entity_rows(_tally(spark, sf_dir))
+
+
+@_query(f"WITH {_FOUND} SELECT sum(count)::BIGINT AS grand_total FROM tally")
+def grand_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tally(spark, sf_dir)
+    return report.grand_total(t, report.keyword_tally(t, keywords.table(spark, list(REDACTOR.keywords))))
+
+
+@_query(
+    f"""
+WITH u AS (SELECT text FROM documents UNION ALL SELECT text FROM conversations), m AS (
+  SELECT 'EMAIL_ADDRESS' AS entity, unnest(regexp_extract_all({_NORM}, '{_EMAIL}')) AS m FROM u UNION ALL SELECT 'KW_0', unnest(regexp_extract_all({_NORM}, '(?i)\\band\\b')) FROM u)
+SELECT entity, m AS matched_text, count(*)::BIGINT AS count FROM m GROUP BY ALL"""
+)
+def scan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select("text").unionByName(_t(spark, sf_dir, "conversations").select("text"))
+    return scan(rows, Redactor(("EMAIL_ADDRESS",), (Keyword("and"),)))
+
+
+# --- urls --------------------------------------------------------------------------------------
+_HOST = "regexp_replace(lower(regexp_extract(trim(url), '(?i)^https?://(?:[^/?#]*@)?([^/:?#]+)', 1)), '[^a-z0-9.-]+$', '')"
+_LABEL = f"(SELECT coalesce(CASE WHEN len(p) >= 2 THEN p[-2] ELSE p[1] END, '') FROM (SELECT list_filter(string_split({_HOST}, '.'), lambda x: x <> '') AS p))"
+
+
+@_query(f"SELECT page_id, CASE WHEN {_LABEL} = '' THEN '[URL]' ELSE '[' || {_LABEL} || ' URL]' END AS token FROM pages")
+def url_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", tx.url_token("url").alias("token"))
+
+
+@_query(f"SELECT {_LABEL} AS label, count(*)::BIGINT AS n FROM pages GROUP BY 1")
+def url_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").groupBy(tx.url_label("url").alias("label")).agg(F.count("*").alias("n"))
+
+
+# --- inventory ---------------------------------------------------------------------------------
+_EXT = (".md", ".txt", ".html", ".JSON", ".csv", ".py", ".pdf")
+_PATH = f"lang || '/' || source || '/' || CASE WHEN n_chars > 3000 THEN 'redacted-' || lang || '/' ELSE '' END || 'doc-' || doc_id || {list(_EXT)}[doc_id % 7 + 1]"
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path for every document, some of them in folders that look like our own output."""
+    ext = F.element_at(F.array(*map(F.lit, _EXT)), (F.col("doc_id") % 7 + 1).cast("int"))
+    folder = F.when(F.col("n_chars") > 3000, F.concat(F.lit("redacted-"), "lang", F.lit("/"))).otherwise("")
+    path = F.concat("lang", F.lit("/"), "source", F.lit("/"), folder, F.lit("doc-"), F.col("doc_id").cast("string"), ext)
+    return _t(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.col("n_chars").alias("size"), "text")
+
+
+_P = f"p AS (SELECT doc_id, {_PATH} AS path, n_chars AS size, text FROM documents)"
+
+
+@_query(f"WITH {_P} SELECT path FROM p WHERE path LIKE '%.md'")
+def file_find_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.find_by_extension(_paths(spark, sf_dir), "md").select("path")
+
+
+@_query(f"WITH {_P} SELECT lower(regexp_extract(path, '[.][^./]+$')) AS ext, count(*)::BIGINT AS n FROM p GROUP BY 1")
+def ext_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.extension_counts(_paths(spark, sf_dir))
+
+
+@_query(f"WITH {_P} SELECT doc_id, path FROM p WHERE path NOT LIKE '%/redacted-%/%'")
+def own_output_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).where(~inventory.own_output("path", "redacted")).select("doc_id", "path")
+
+
+@_query(
+    f"""WITH {_P} SELECT CASE lower(regexp_extract(path, '[.][^./]+$')) WHEN '.csv' THEN 'skip' WHEN '.md' THEN 'md' WHEN '.txt' THEN 'txt' WHEN '.html' THEN 'html'
+  WHEN '.json' THEN 'json' WHEN '.pdf' THEN 'pdf' ELSE 'uncopied' END AS kind, count(*)::BIGINT AS n FROM p GROUP BY 1"""
+)
+def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.route_stats(_paths(spark, sf_dir), skip=[".csv"])
+
+
+@_query("SELECT md5(text) AS hash, count(*)::BIGINT AS n, min(octet_length(encode(text)))::BIGINT AS size FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.duplicate_groups(_t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_query(_SQL["dup_groups"])
+def dup_size_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.duplicate_groups(inventory.duplicate_candidates(_t(spark, sf_dir, "documents"), "text"), "doc_id", "text")
+
+
+@_query(
+    """WITH h AS (SELECT doc_id, md5(text) AS hash, n_chars FROM documents), g AS (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY n_chars, doc_id) AS a, row_number() OVER (w ORDER BY n_chars DESC, doc_id DESC) AS z FROM h WINDOW w AS (PARTITION BY hash))
+SELECT hash, doc_id AS item, z = 1 AS is_newest, a = 1 AS is_oldest FROM g WHERE n > 1"""
+)
+def dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.duplicate_members(_t(spark, sf_dir, "documents"), "doc_id", "text", "n_chars")
+
+
+@_query("SELECT md5(text) AS hash, max(doc_id) AS newest, count(*)::BIGINT AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dup_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _t(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("hash"))
+    return h.groupBy("hash").agg(F.max("doc_id").alias("newest"), F.count("*").alias("n")).where("n > 1")
+
+
+def _folder(prefix: Column) -> Column:
+    return F.concat(prefix, F.lit("/"), "c_mktsegment", F.lit("/b"), F.floor(F.col("c_acctbal") / 100).cast("string"))
+
+
+@_query(
+    """WITH f AS (SELECT n_name || '/' || c_mktsegment || '/b' || floor(c_acctbal / 100)::BIGINT AS d FROM customer JOIN nation ON c_nationkey = n_nationkey),
+a AS (SELECT DISTINCT n_name || '/' || c_mktsegment || '/b' || floor(c_acctbal / 100)::BIGINT AS path FROM customer, nation)
+SELECT path FROM a WHERE path NOT IN (SELECT d FROM f)"""
+)
+def empty_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
+    kinds = c.select("c_mktsegment", F.floor(F.col("c_acctbal") / 100).alias("b")).distinct()
+    folders = kinds.crossJoin(n.select("n_name")).select(F.concat("n_name", F.lit("/"), "c_mktsegment", F.lit("/b"), F.col("b").cast("string")).alias("path"))
+    files = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(_folder(F.col("n_name")), F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("path"))
+    return inventory.empty_folders(folders, files)
+
+
+# --- search ------------------------------------------------------------------------------------
+_LINES = "SELECT conv_id, turn, unnest(range(1, len(l) + 1)) AS lineno, unnest(l) AS line FROM (SELECT conv_id, turn, CASE WHEN x[-1] = '' THEN x[:-2] ELSE x END AS l FROM (SELECT conv_id, turn, string_split_regex(text, '\\r\\n|[\\n\\x0b\\f\\r\\x1c-\\x1e]') AS x FROM conversations))"
+
+
+@_query(f"SELECT conv_id, turn, lineno::BIGINT AS lineno, trim(line) AS line FROM ({_LINES}) WHERE contains(lower(line), 'that')")
+def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn"))
+    return search.search_lines(c, "key", "text", "That").select("key.conv_id", "key.turn", "lineno", "line")
+
+
+@_query(f"SELECT count(*) FILTER (contains(lower(line), 'that'))::BIGINT AS matches, count(DISTINCT conv_id)::BIGINT AS files FROM ({_LINES})")
+def log_search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_totals(_t(spark, sf_dir, "conversations"), "conv_id", "text", "THAT")
+
+
+# --- file names --------------------------------------------------------------------------------
+NAME_KEYS = [Keyword("building", "[SEG/01]"), Keyword("machinery", "[SEG/01]"), Keyword("house", "__H__"), Keyword("auto"), Keyword("it", "x")]
+_CUST = "n_name || ' ' || c_mktsegment || '/' || c_mktsegment || '-' || (c_custkey % 50)::VARCHAR || '.md'"
+_RENAMED = """regexp_replace(regexp_replace(path, '(?i)machinery|building', 'SEG_01', 'g'), '(?i)house', 'H', 'g')"""
+_PLAN = f"""files AS (SELECT DISTINCT {_CUST} AS path FROM customer JOIN nation ON c_nationkey = n_nationkey
+), r AS (SELECT path, {_RENAMED} AS renamed, len(regexp_extract_all(path, '(?i)machinery|building|house'))::BIGINT AS hits FROM files
+), k AS (SELECT *, row_number() OVER (PARTITION BY renamed ORDER BY path) AS i FROM r
+), plan AS (SELECT path, renamed, hits, CASE WHEN i = 1 THEN renamed ELSE regexp_replace(renamed, '([.][^./]+)$', '__' || i || '\\1') END AS final FROM k)"""
+
+
+def _name_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
+    path = F.concat("n_name", F.lit(" "), "c_mktsegment", F.lit("/"), "c_mktsegment", F.lit("-"), (F.col("c_custkey") % 50).cast("string"), F.lit(".md"))
+    files = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(path.alias("path")).distinct()
+    return filenames.resolve_collisions(filenames.rename(files, NAME_KEYS))
+
+
+@_query(f"WITH {_PLAN} SELECT path, renamed, hits, final FROM plan")
+def filename_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_plan(spark, sf_dir).select("path", "renamed", "hits", "final")
+
+
+@_query(f"WITH {_PLAN} SELECT final, 'auto' AS terms FROM plan WHERE contains(lower(final), 'auto')")
+def filename_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filenames.flags(_name_plan(spark, sf_dir), NAME_KEYS).select("final", F.array_join("terms", ", ").alias("terms"))
+
+
+@_query(
+    f"""WITH {_PLAN} SELECT count(*) FILTER (path <> final)::BIGINT AS files_renamed, count(DISTINCT CASE WHEN split_part(path, '/', 1) <> split_part(renamed, '/', 1) THEN split_part(path, '/', 1) END)::BIGINT AS dirs_renamed,
+  count(*) FILTER (renamed <> final)::BIGINT AS collisions, count(*) FILTER (contains(lower(final), 'auto'))::BIGINT AS flagged_files FROM plan"""
+)
+def filename_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filenames.summary(_name_plan(spark, sf_dir), NAME_KEYS)
+
+
+# --- formats -----------------------------------------------------------------------------------
+_CELL = [Keyword("customer", "[C-01]"), Keyword("building"), Keyword("supplier", "[S-01]")]
+_CELL_SQL = "regexp_replace(regexp_replace(regexp_replace({0}, '(?i)\\bcustomer\\b', '[C-01]', 'g'), '(?i)\\bbuilding\\b', '█████', 'g'), '(?i)\\bsupplier\\b', '[S-01]', 'g')"
+
+
+@_query(
+    f"""SELECT 'customer' AS source, c_custkey AS id, {_CELL_SQL.format("c_name")} AS a, {_CELL_SQL.format("c_mktsegment")} AS b FROM customer
+UNION ALL SELECT 'supplier', s_suppkey, {_CELL_SQL.format("s_name")}, {_CELL_SQL.format("s_suppkey::VARCHAR")} FROM supplier"""
+)
+def csv_cells_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer").select(F.lit("customer").alias("source"), F.col("c_custkey").alias("id"), F.array(F.array("c_name", "c_mktsegment")).alias("cells"))
+    s = _t(spark, sf_dir, "supplier").select(F.lit("supplier").alias("source"), F.col("s_suppkey").alias("id"), F.array(F.array("s_name", F.col("s_suppkey").cast("string"))).alias("cells"))
+    rows = c.unionByName(s).withColumn("cells", docs_op.redact_cells(F.col("cells"), lambda x: keywords.redact(x, _CELL)))
+    return rows.select("source", "id", F.col("cells")[0][0].alias("a"), F.col("cells")[0][1].alias("b"))
+
+
+def _shout(s: str) -> str:
+    return s.upper()
+
+
+@_query(
+    """SELECT event_id, k AS key, CASE WHEN json_type(props, '$."' || k || '"') = 'VARCHAR' THEN upper(json_extract_string(props, '$."' || k || '"')) ELSE json_extract_string(props, '$."' || k || '"') END AS value
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"""
+)
+def json_values_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select("event_id", docs_op.json_redact("props", _shout, indent=None).alias("j"))
+    return e.select("event_id", F.explode(F.from_json("j", "map<string,string>")).alias("key", "value"))
+
+
+@_query("SELECT event_id, json_valid(props) AS ok FROM events UNION ALL SELECT -1 - doc_id, json_valid(trim(split_part(text, chr(10), 1))) FROM documents")
+def jsonl_wellformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select("event_id", verify.wellformed("props").alias("ok"))
+    return e.unionByName(_t(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("event_id"), verify.wellformed("text").alias("ok")))
+
+
+@_query()
+def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", docs_op.html_text("html").alias("visible"))
+
+
+@_query()
+def html_href(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", F.explode(docs_op.html_links("html")).alias("href"))
+
+
+@_query()
+def html_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", docs_op.html_redact("html", _shout, lambda u: "[URL]").alias("html"))
+
+
+@_query()
+def html_to_md(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", docs_op.html_markdown("html").alias("markdown"))
+
+
+# --- sessions ----------------------------------------------------------------------------------
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a session of the space that its number names."""
+    c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    return c.select(F.concat(F.lit("local_"), F.col("conv_id").cast("string")).alias("session_id"), F.when(F.col("last") > 1, F.concat(F.lit("space-"), (F.col("conv_id") % 30).cast("string"))).alias("space_id"))
+
+
+_SESS = "s AS (SELECT 'local_' || conv_id AS session_id, CASE WHEN max(turn) > 1 THEN 'space-' || (conv_id % 30) END AS space_id FROM conversations GROUP BY conv_id)"
+
+
+@_query(
+    f"""WITH {_SESS} SELECT space_id, CASE WHEN space_id IS NULL THEN '(unassigned)' ELSE coalesce(n_name, '(unknown: ' || left(space_id, 8) || '...)') END AS name, count(*)::BIGINT AS n_sessions
+FROM s LEFT JOIN nation ON space_id = 'space-' || n_nationkey GROUP BY ALL"""
+)
+def session_space_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spaces = _t(spark, sf_dir, "nation").select(F.concat(F.lit("space-"), F.col("n_nationkey").cast("string")).alias("space_id"), F.col("n_name").alias("name"))
+    return sessions.space_counts(_sessions(spark, sf_dir), spaces)
+
+
+@_query("SELECT 'local_' || page_id AS session_id FROM pages WHERE page_id NOT IN (SELECT conv_id FROM conversations)")
+def orphan_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirs = _t(spark, sf_dir, "pages").select(F.concat(F.lit("local_"), F.col("page_id").cast("string")).alias("session_id"))
+    return sessions.orphans(dirs, _sessions(spark, sf_dir))
+
+
+_LOG = """'s' || source || CASE doc_id % 11 WHEN 0 THEN '/x/' ELSE '/.claude/projects/' END || CASE doc_id % 5 WHEN 0 THEN 'a/subagents/' ELSE 'p/' END
+  || CASE doc_id % 13 WHEN 1 THEN 'audit' WHEN 2 THEN 'agent-' || doc_id WHEN 3 THEN 'My-Credentials' || doc_id ELSE 't' || doc_id END || '.jsonl'"""
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    base = F.when(i % 13 == 1, "audit").when(i % 13 == 2, F.concat(F.lit("agent-"), i.cast("string"))).when(i % 13 == 3, F.concat(F.lit("My-Credentials"), i.cast("string"))).otherwise(F.concat(F.lit("t"), i.cast("string")))
+    path = F.concat(F.lit("s"), "source", F.when(i % 11 == 0, "/x/").otherwise("/.claude/projects/"), F.when(i % 5 == 0, "a/subagents/").otherwise("p/"), base, F.lit(".jsonl"))
+    return _t(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+
+
+_CLASS = """CASE WHEN contains(path, '/subagents/') THEN 'subagent' WHEN path LIKE '%/audit.jsonl' THEN 'audit' WHEN NOT contains(path, '/.claude/projects/') THEN 'non_project'
+  WHEN contains(lower(parse_filename(path)), 'credentials') THEN 'credentials' WHEN parse_filename(path) LIKE 'agent-%' THEN 'agent' ELSE 'transcript' END"""
+
+
+@_query(f"SELECT doc_id, path, {_CLASS} AS class FROM (SELECT doc_id, {_LOG} AS path FROM documents)")
+def transcript_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.classified(_logs(spark, sf_dir))
+
+
+@_query(f"SELECT {_CLASS} AS class, count(*)::BIGINT AS n FROM (SELECT {_LOG} AS path FROM documents) GROUP BY 1")
+def classify_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.class_totals(_logs(spark, sf_dir))
+
+
+@_query(
+    f"""WITH {_P}, t AS (SELECT path, size * quality AS ts FROM p JOIN labels USING (doc_id))
+SELECT path, size, CASE WHEN ts IS NULL THEN 'copy' WHEN ts = 0 THEN 'recopy' ELSE 'skip' END AS action FROM p LEFT JOIN t USING (path)"""
+)
+def copy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _paths(spark, sf_dir)
+    target = p.join(_t(spark, sf_dir, "labels"), "doc_id").select("path", (F.col("size") * F.col("quality")).alias("size"))
+    return sessions.copy_plan(p.select("path", "size"), target)
+
+
+def _items(spark: SparkSession, sf_dir: str, table: str, column: str) -> DataFrame:
+    return _t(spark, sf_dir, table).select(F.lit("id").alias("section"), F.col(column).cast("string").alias("item")).distinct()
+
+
+@_query(
+    """SELECT 'id' AS section, coalesce(a, b) AS item, CASE WHEN a IS NULL THEN 'added' ELSE 'removed' END AS status
+FROM (SELECT DISTINCT doc_id::VARCHAR AS a FROM labels) FULL JOIN (SELECT DISTINCT vec_id::VARCHAR AS b FROM embeddings) ON a = b WHERE a IS NULL OR b IS NULL"""
+)
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.snapshot_diff(_items(spark, sf_dir, "labels", "doc_id"), _items(spark, sf_dir, "embeddings", "vec_id"))
+
+
+# --- verification ------------------------------------------------------------------------------
+def _flat(result: DataFrame) -> DataFrame:
+    return result.select("id", "status", "n", F.array_join("items", ",").alias("items"))
+
+
+def _inv(name: str, offenders: str) -> str:
+    return f"""WITH o AS (SELECT item FROM ({offenders})) SELECT '{name}' AS id, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*)::BIGINT AS n,
+  coalesce((SELECT string_agg(item, ',' ORDER BY item) FROM (SELECT item FROM o ORDER BY item LIMIT 20)), '') AS items FROM o"""
+
+
+@_query(_inv("I1", "SELECT DISTINCT doc_id::VARCHAR AS item FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"))
+def verify_i1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(verify.i1_nothing_lost(_items(spark, sf_dir, "labels", "doc_id"), _items(spark, sf_dir, "embeddings", "vec_id")))
+
+
+_LOGLINES = ["start", 'MACHINE_SUMMARY {"transcripts_copied": 1, "dry_run": true}', "MACHINE_SUMMARY {broken", 'MACHINE_SUMMARY {"transcripts_copied": 601, "transcripts_skipped": 2, "tool_results_copied": 3, "memory_copied": 4, "errors": 0, "dry_run": false}', "end"]
+
+
+def _log(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_LOGLINES)), "lineno int, line string")
+
+
+@_query(
+    """SELECT 'I2' AS id, CASE WHEN n = 601 THEN 'PASS' ELSE 'FAIL' END AS status, n::BIGINT AS n, CASE WHEN n > 601 THEN 'more than reported' WHEN n < 601 THEN 'fewer than reported' ELSE '' END AS items
+FROM (SELECT count(DISTINCT doc_id) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"""
+)
+def verify_i2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = verify.added(_items(spark, sf_dir, "labels", "doc_id"), _items(spark, sf_dir, "documents", "doc_id"))
+    return _flat(verify.i2_count_agrees(new, verify.last_summary(_log(spark))))
+
+
+@_query(_inv("I3", "SELECT event_id::VARCHAR AS item FROM events WHERE NOT json_valid(props) UNION ALL SELECT 'doc' || doc_id FROM documents WHERE NOT json_valid(trim(split_part(text, chr(10), 1)))"))
+def verify_i3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("item"), F.col("props").alias("content"))
+    d = _t(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("item"), F.col("text").alias("content"))
+    return _flat(verify.i3_wellformed(e.unionByName(d)))
+
+
+@_query(
+    _inv(
+        "I4",
+        f"SELECT path AS item FROM (SELECT {_LOG} AS path FROM documents) WHERE contains(path, '/subagents/') OR parse_filename(path) = 'audit.jsonl' OR parse_filename(path) LIKE 'agent-%.jsonl' OR contains(lower(parse_filename(path)), 'credentials')",
+    )
+)
+def verify_i4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(verify.i4_nothing_forbidden(_logs(spark, sf_dir).select(F.col("path").alias("item"))))
+
+
+@_query("SELECT 'I5' AS id, 'PASS' AS status, 0::BIGINT AS n, md5(string_agg(n_name, ',' ORDER BY n_name)) AS items FROM nation")
+def verify_i5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _t(spark, sf_dir, "nation").agg(F.md5(F.array_join(F.array_sort(F.collect_list("n_name")), ",")).alias("hash"))
+    return _flat(verify.i5_same(h, h))
+
+
+@_query(
+    _inv(
+        "I6",
+        "SELECT 'id/' || coalesce(a, b) AS item FROM (SELECT DISTINCT doc_id::VARCHAR AS a FROM labels) FULL JOIN (SELECT DISTINCT vec_id::VARCHAR AS b FROM embeddings) ON a = b WHERE a IS NULL OR b IS NULL",
+    )
+)
+def verify_i6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(verify.i6_sources_unchanged(_items(spark, sf_dir, "labels", "doc_id"), _items(spark, sf_dir, "embeddings", "vec_id")))
+
+
+@_query("SELECT 'FAIL' AS verdict, 2::INT AS exit_code FROM (SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WHERE n >= 0")
+def verify_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.verdict(verify.all_results(*(f(spark, sf_dir) for f in (verify_i1, verify_i2, verify_i3, verify_i4, verify_i5, verify_i6))))
+
+
+@_query("SELECT 601::BIGINT AS transcripts_copied, 2::BIGINT AS transcripts_skipped, 3::BIGINT AS tool_results_copied, 4::BIGINT AS memory_copied, 0::BIGINT AS errors, false AS dry_run")
+def machine_summary_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.last_summary(_log(spark)).select("s.*")
+
+
+# --- sections ----------------------------------------------------------------------------------
+_LAYOUT = """l AS (
+  SELECT doc_id AS image, unnest(range(len(x)))::INT AS ord, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)
+), rows AS (SELECT image, ord, ord * 0.02 + (length(text) // 400) * 0.001 AS y, 0.1 + CASE WHEN length(text) % 7 = 0 THEN 0.02 ELSE 0 END AS x, text FROM l)"""
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' lines as positioned rows, some of them indented."""
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("image"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    n = F.length("text")
+    y = F.col("ord") * F.lit(0.02) + F.floor(n / 400) * F.lit(0.001)
+    return d.select("image", "ord", y.alias("y"), (F.lit(0.1) + F.when(n % 7 == 0, 0.02).otherwise(0.0)).alias("x"), "text")
+
+
+_LONE = r"'(^|\s)[|](\s|$)', '\1I\2', 'g'"
+_FIXED = rf"regexp_replace(regexp_replace(text, {_LONE}), {_LONE})"
+_JUNK = r"(regexp_matches(text, '^[\s•·▪‣⁃\-*–—|]+$') OR regexp_matches(text, '^([A-Za-z]|[A-Za-z]{1,5}\.{2,})$'))"
+_SECTION = rf"""{_LAYOUT}, n AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY y, ord) AS pos, regexp_replace(lower(text), '[^a-z ]', ' ', 'g') AS w FROM rows WHERE NOT {_JUNK}
+), s AS (SELECT *, min(CASE WHEN regexp_matches(w, 'ing') THEN pos END) OVER (PARTITION BY image) AS st FROM n
+), e AS (SELECT *, min(CASE WHEN regexp_matches(w, 'rea') AND pos > st THEN pos END) OVER (PARTITION BY image) AS en FROM s
+), sec AS (SELECT image, ord, y, x, text FROM e WHERE pos > st AND (en IS NULL OR pos < en))"""
+
+
+def _section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.section_rows(_layout(spark, sf_dir), "ing", "rea")
+
+
+@_query(f"WITH {_SECTION} SELECT image, ord, text FROM sec")
+def section_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _section(spark, sf_dir).select("image", "ord", "text")
+
+
+@_query(
+    rf"""WITH {_LAYOUT}, r AS (SELECT image, ord, y, x, {_FIXED} AS text, round(x, 3) AS rx, row_number() OVER w AS pos, y - lag(y) OVER w AS gap FROM rows WINDOW w AS (PARTITION BY image ORDER BY y, ord)
+), m AS (SELECT image, arg_max(rx, struct_pack(c := c, f := -f)) AS margin FROM (SELECT image, rx, count(*) AS c, min(pos) AS f FROM r GROUP BY ALL) GROUP BY image
+), d AS (SELECT image, coalesce(quantile_cont(gap, 0.5), 1.0) AS med FROM r GROUP BY image
+), b AS (
+  SELECT image, pos, text, regexp_matches(text, '^\s*[-•‣⁃▪*·]\s+') AS ul, regexp_matches(text, '^\s*\d{{1,2}}[.)]\s+') AS ol, x > margin + 0.012 AS ind, coalesce(gap > med * 1.6, false) AS big FROM r JOIN m USING (image) JOIN d USING (image)
+), k AS (SELECT *, CASE WHEN ul THEN 'ul' WHEN ol THEN 'ol' WHEN ind AND pos > 1 THEN 'ul' ELSE 'p' END AS kind, ul OR ol OR pos = 1 OR big OR ind AS new FROM b
+), o AS (SELECT *, sum(new::INT) OVER (PARTITION BY image ORDER BY pos) AS block FROM k)
+SELECT image, block::BIGINT AS block, arg_min(kind, pos) AS kind, string_agg(trim(CASE WHEN ul THEN regexp_replace(text, '^\s*[-•‣⁃▪*·]\s+', '') ELSE text END, ' ' || chr(9) || chr(13) || chr(12) || chr(11)), ' ' ORDER BY pos) AS text FROM o GROUP BY 1, 2"""
+)
+def section_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.blocks(_layout(spark, sf_dir))
+
+
+@_query()
+def section_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.markdown(sections.blocks(_section(spark, sf_dir)))
+
+
+_ODATE = "o_orderpriority || '-' || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE strftime(o_orderdate + INTERVAL 20 YEAR, '%Y_%m') END"
+
+
+@_query(
+    rf"""WITH n AS (SELECT o_orderkey, {_ODATE} AS s FROM orders), p AS (SELECT *, regexp_extract(s, '(20\d{{2}})[-_](\d{{1,2}})', 1) AS y, regexp_extract(s, '(20\d{{2}})[-_](\d{{1,2}})', 2) AS m FROM n)
+SELECT o_orderkey, CASE WHEN y = '' THEN 0 ELSE y::INT END AS year, CASE WHEN m = '' THEN 0 ELSE m::INT END AS month, CASE WHEN y = '' THEN s ELSE monthname(make_date(2000, m::INT, 1)) || ' ' || y END AS label FROM p"""
+)
+def section_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stem = F.concat("o_orderpriority", F.lit("-"), F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.date_format(F.add_months("o_orderdate", 240), "yyyy_MM")))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", tx.date_of(stem).alias("d")).select("o_orderkey", "d.year", "d.month", "d.label")
