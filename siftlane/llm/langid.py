@@ -100,8 +100,8 @@ def fit_texts(rows: list[tuple[str, str]], centroids: int = CENTROIDS, slack: fl
     rows = sorted(r for r in rows if r[0] and r[1])
     tf = [(lang, text, counts(np.frombuffer(text.lower().encode(), np.uint8))) for lang, text in rows]
     tf = [x for x in tf if x[2].sum() > 0]
-    if not tf:
-        raise ValueError("no labelled text with letters to fit on")
+    if not tf:  # nothing is known, so that everything is rejected
+        return Model([], np.zeros(1, np.int64), np.zeros((1, DIMS), np.float32), np.zeros(DIMS, np.float32), np.full(_BINS, -1.0))
     m = np.array([x[2] for x in tf])
     idf = (np.log((1 + len(m)) / (1 + (m > 0).sum(0))) + 1).astype(np.float32)
     bare = Model([], np.zeros(0), np.zeros((0, DIMS)), idf, np.zeros(0))
