@@ -148,13 +148,14 @@ def group_by_part(rec: np.ndarray, hashed: np.ndarray, parts: int) -> pa.RecordB
     order = np.argsort(part, kind="stable")
     rec, part = rec[order], part[order]
     ids, first = np.unique(part, return_index=True)
-    blobs = [rec[i:j].tobytes() for i, j in zip(first, [*first[1:], len(rec)], strict=True)]
+    blobs = [np.ascontiguousarray(rec[i:j].view(np.uint8).reshape(j - i, -1).T).tobytes() for i, j in zip(first, [*first[1:], len(rec)], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "rows"])
 
 
 def unpack(table: pa.Table, kind: np.dtype) -> np.ndarray:
-    """The records of all blobs of a partition."""
-    return np.concatenate([np.frombuffer(x, kind) for x in table.column("rows").to_pylist()])
+    """The records of all blobs of a partition. Blobs hold byte planes, in which what is alike lies together."""
+    raw = (np.frombuffer(x, np.uint8).reshape(kind.itemsize, -1).T for x in table.column("rows").to_pylist())
+    return np.concatenate([np.ascontiguousarray(x).reshape(-1).view(kind) for x in raw])
 
 
 def runs(*sorted_columns: np.ndarray) -> np.ndarray:

@@ -16,6 +16,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,7 +89,7 @@ class Lines:
 
 
 _OCC = np.dtype([("sig", "<u8"), ("id", "<i8"), ("text", "<i8"), ("line", "<i4")])
-_ENTRY = np.dtype([("token", "<u8"), ("sig", "<u8"), ("bits", "<u8"), ("n_pos", "<u4"), ("age", "<u4")])
+_ENTRY = np.dtype([("token", "<u4"), ("sig", "<u8"), ("bits", "<u8"), ("n_pos", "<u4"), ("age", "<u4")])
 _MAX_N, _MAX_POS = (1 << 20) - 1, (1 << 12) - 1  # beyond these the filters let a pair pass
 
 
@@ -117,21 +118,22 @@ def _signatures(rank: np.ndarray, num: int, den: int, parts: int):
                 owner = np.repeat(np.arange(len(one)), prefix)
                 pos = np.arange(len(owner)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
                 e = np.empty(len(owner), _ENTRY)
-                e["token"], e["sig"], e["bits"] = x.key[x.first[one][owner] + pos], x.sig[one][owner], x.bits[one][owner]
+                # half of a token's hash is enough to meet at: tokens that share it only add candidates
+                e["token"], e["sig"], e["bits"] = mix(x.key[x.first[one][owner] + pos]) >> U64(32), x.sig[one][owner], x.bits[one][owner]
                 e["age"] = age[owner]
                 e["n_pos"] = np.minimum(n, _MAX_N)[owner] << 12 | np.minimum(pos, _MAX_POS)
                 entries.append(e)
             for kind, recs, name in ((0, occs, "sig"), (1, entries, "token")):
                 if recs:
                     rec = np.concatenate(recs)
-                    out = group_by_part(rec, rec[name], parts)
+                    out = group_by_part(rec, rec[name].astype(U64), parts)
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * out.num_rows, pa.int32()), *out.columns], names=["kind", "part", "rows"])
 
     return run
 
 
-_PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int32()), ("others", pa.list_(pa.int64())), ("k_id", pa.int64()), ("k_text", pa.int64()), ("line", pa.int32()), ("m_id", pa.int64()), ("m_text", pa.int64()), ("m_line", pa.int32())])
-_PAIRS_SQL = "kind int, a long, b long, apart int, others array<long>, k_id long, k_text long, line int, m_id long, m_text long, m_line int"
+_PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("apart", pa.list_(pa.int8())), ("part", pa.int32()), ("others", pa.list_(pa.int64())), ("k_id", pa.int64()), ("k_text", pa.int64()), ("line", pa.int32()), ("m_id", pa.int64()), ("m_text", pa.int64()), ("m_line", pa.int32())])
+_PAIRS_SQL = "kind int, a long, apart array<byte>, part int, others array<long>, k_id long, k_text long, line int, m_id long, m_text long, m_line int"
 
 
 def _distinct(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -161,14 +163,17 @@ def _candidates(num: int, den: int, step: int = 1 << 22):
         size = np.diff(at, append=len(e))
         e = e[np.repeat(size > 1, size)]
         e = e[np.lexsort((e["age"], e["sig"], e["n_pos"] >> np.uint32(12), e["token"]))]
-        e = e[runs(e["token"], e["sig"])]
+        at = runs(e["token"], e["sig"])
+        place = np.minimum.reduceat(e["n_pos"], at) if len(at) else e["n_pos"]
+        e = e[at]
+        e["n_pos"] = place
         at = runs(e["token"])
         group = np.repeat(np.arange(len(at)), np.diff(at, append=len(e)))
         n, pos = (e["n_pos"] >> np.uint32(12)).astype(np.int64), (e["n_pos"] & np.uint32(_MAX_POS)).astype(np.int64)
         far = np.searchsorted(group << 32 | n, group << 32 | np.where(n == _MAX_N, _MAX_N, den * n // num), side="right")
         count = far - np.arange(len(e)) - 1
         ends = np.cumsum(count)
-        found = [(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.uint8))]
+        found: list[tuple] = [(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.uint8))]
         i = 0
         while i < len(e):
             j = max(i + 1, int(np.searchsorted(ends, ends[i] - count[i] + step, side="right")))
@@ -188,12 +193,13 @@ def _candidates(num: int, den: int, step: int = 1 << 22):
         ends = np.append(at, len(late)).astype(np.int32)
         order = np.lexsort((early, apart, late))
         others = pa.ListArray.from_arrays(pa.array(ends), pa.array(early[order].view(np.int64)))
-        return {"kind": np.full(len(at), 2), "a": late[at].view(np.int64), "b": early[order][at].view(np.int64), "apart": apart[order][at], "others": others}
+        return {"kind": np.full(len(at), 2), "a": late[at].view(np.int64), "apart": pa.ListArray.from_arrays(pa.array(ends), pa.array(apart[order].astype(np.int8))), "others": others}
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
         columns = firsts(unpack(table, _OCC)) if kind == 0 else pairs(unpack(table, _ENTRY))
         n = len(columns["a"])
+        columns["part"] = pa.array(np.full(n, table.column("part")[0].as_py(), np.int32))
         made = [columns.get(f.name, pa.nulls(n, f.type)) for f in _PAIRS]
         made = [c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in made]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(made, _PAIRS, strict=True)], schema=_PAIRS)
@@ -220,26 +226,38 @@ def _sets(rank: np.ndarray, docs_filter: np.ndarray, sig_filter: np.ndarray):
     return run
 
 
-def _verified(keyed: DataFrame, rank: np.ndarray, pairs: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) those where a's line comes later and whose Jaccard is at least num / den, with both keys.
-
-    The texts are read once more, for the sets of these lines alone."""
-    sigs = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    firsts = materialize(first.join(sigs, "sig"), "firsts")
-    a, b = (firsts.select(F.col("sig").alias(s), F.col("key").alias(f"k{s}")) for s in "ab")
-    pairs = materialize(pairs.join(a, "a").join(b, "b").where("ka > kb"), "pairs")
-    asked = materialize(pairs.select(F.col("a").alias("sig"), F.col("ka.k_text").alias("h")).unionByName(pairs.select(F.col("b").alias("sig"), F.col("kb.k_text").alias("h"))).distinct(), "asked")
-    sets = (
-        keyed.select("k_text", "text")
-        .mapInArrow(_sets(rank, bitmap(asked, "h"), bitmap(asked, "sig")), "sig long, tokens array<long>")
-        .join(asked.select("sig").distinct(), "sig", "left_semi")
-        .groupBy("sig")
-        .agg(F.any_value("tokens").alias("tokens"))
-    )
-    sets = materialize(sets, "sets")
-    a, b = (sets.select(F.col("sig").alias(s), F.col("tokens").alias(f"t{s}")) for s in "ab")
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(a, "a").join(b, "b").where(den * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "ka", "kb")
+_HIT = pa.schema([("a", pa.int64()), ("k_id", pa.int64()), ("k_text", pa.int64()), ("line", pa.int32()), ("m_id", pa.int64()), ("m_text", pa.int64()), ("m_line", pa.int32())])
+
+
+def _verify(num: int, den: int, step: int = 64):
+    """Of each set with candidates the first candidate, likeliest first, that comes earlier and is similar enough."""
+
+    def run(asked: pa.Table, sets: pa.Table) -> pa.Table:
+        place = {s: i for i, s in enumerate(sets.column("sig").to_pylist())}
+        lists = sets.column("tokens").combine_chunks()
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        first = np.cumsum(size) - size
+        token = lists.flatten().to_numpy()
+        key = list(zip(*(sets.column(c).to_pylist() for c in ("k_id", "k_text", "line")), strict=True))
+        out = []
+        for a, others in zip(asked.column("a").to_pylist(), asked.column("others").to_pylist(), strict=True):
+            i = place[a]
+            mine = np.sort(token[first[i] : first[i] + size[i]])
+            cand = [j for j in map(place.__getitem__, others) if key[j] < key[i]]
+            for k in range(0, len(cand), step):
+                c = np.array(cand[k : k + step])
+                n = size[c]
+                at = np.repeat(first[c] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                theirs = token[at]
+                same = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                both = np.add.reduceat(same, np.cumsum(n) - n, dtype=np.int64)
+                hit = np.flatnonzero(den * both >= num * (len(mine) + n - both))
+                if len(hit):
+                    out.append((a, *key[i], *key[c[hit[0]]]))
+                    break
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_HIT)], schema=_HIT)
+
+    return run
 
 
 # --- the operator ------------------------------------------------------------------------------
@@ -260,21 +278,30 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .applyInArrow(_candidates(num, den), _PAIRS_SQL),
         "lines",
     )
-    near = found.where("kind = 2")
-    first = found.where("kind = 0").select(F.col("a").alias("sig"), F.struct("k_id", "k_text", "line").alias("key"))
-    # of each set the likeliest match is verified first; only sets that it doesn't remove have all the others verified
-    best = materialize(near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"), F.sum(F.size("others")).alias("n")), "best")
-    hit = materialize(_verified(keyed, rank, best.select("a", "b"), first, num, den), "hits")
-    rest = near.join(best.where("n > 1").select("a"), "a", "left_semi").join(hit.select("a"), "a", "left_anti")
-    rest = rest.select("a", F.explode("others").alias("b")).distinct().join(best.select("a", "b"), ["a", "b"], "left_anti")
-    rest = materialize(rest, "rest")
-    both = hit if rest.isEmpty() else hit.unionByName(_verified(keyed, rank, rest, first, num, den))
-    late = both.groupBy("ka").agg(F.min("kb").alias("m"))
-    late = late.select("ka.*", F.col("m.k_id").alias("m_id"), F.col("m.k_text").alias("m_text"), F.col("m.line").alias("m_line"))
+    # all that a set met, in one place: the first of the partitions where it did, which its near copies share
+    met = F.arrays_zip("apart", "others")
+    near = found.where("kind = 2").groupBy("a").agg(F.min("part").alias("home"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(met)))).alias("met"))
+    near = materialize(near.select("home", "a", F.col("met.others").alias("others")), "near")
+    need = near.select("home", F.explode(F.array_append("others", F.col("a"))).alias("sig")).distinct()
+    first = found.where("kind = 0").select(F.col("a").alias("sig"), "k_id", "k_text", "line")
+    need = materialize(need.join(first, "sig"), "need")
+    filters = bitmap(need.select("k_text").distinct(), "k_text"), bitmap(need.select("sig").distinct(), "sig")
+    sets = keyed.select("k_text", "text").mapInArrow(_sets(rank, *filters), "sig long, tokens array<long>")
+    sets = sets.join(need.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.any_value("tokens").alias("tokens")).join(need, "sig")
+    hit = near.groupBy("home").cogroup(sets.groupBy("home")).applyInArrow(_verify(num, den), "a long, k_id long, k_text long, line int, m_id long, m_text long, m_line int")
+    late = hit.drop("a")
     # a later copy of a set whose first line has an earlier match still has that first line as a match
     return late.unionByName(found.where("kind = 1").select(*late.columns))
 
 
+def _touched(filter_: np.ndarray):
+    @F.pandas_udf("boolean")
+    def run(hashes: pd.Series) -> pd.Series:
+        return pd.Series(hits(filter_, hashes.to_numpy(np.int64).view(U64)))
+
+    return run
+
+
 def drop_similar_lines(docs: DataFrame, threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
     """docs with the later of any two similar lines removed from text; with counted the columns doc_id, text,
     n_lines and n_removed instead.
@@ -285,7 +312,12 @@ def drop_similar_lines(docs: DataFrame, threshold: float = THRESHOLD, counted: b
     An empty table gives none. Other columns are kept as they are.
     """
     gone = removed_lines(docs, threshold).groupBy("k_id", "k_text").agg(F.collect_list("line").alias("gone"))
-    rows = with_row(docs).join(materialize(gone, "gone"), ["k_id", "k_text"], "left")
+    gone = materialize(gone, "gone")
+    # only documents that may lose a line are shuffled: a fixed bitmap lets the others past the join
+    touched = bitmap(gone.select("k_text").distinct(), "k_text")
+    rows = with_row(docs).withColumn("touched", _touched(touched)(F.col("k_text")))
+    joined = rows.where("touched").join(gone, ["k_id", "k_text"], "left")
+    rows = rows.where("not touched").withColumn("gone", F.lit(None).cast("array<int>")).unionByName(joined)
     lines = F.split(F.col("row.text"), "\n")
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(stay, "\n"))
