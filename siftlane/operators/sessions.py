@@ -40,7 +40,7 @@ def _field(variant: str, key: str) -> Column:
 
 def _explode(rows: DataFrame, column: str) -> DataFrame:
     # the only generator over variants is a table function
-    return rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col(column).outer())).select("pos", "key", "value")
+    return rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col(column).outer())).select("pos", "key", "value")
 
 
 def sidecars(files: DataFrame) -> DataFrame:
