@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -182,3 +183,13 @@ def bitmap(hashes: DataFrame, column: str, bits: int = 24) -> np.ndarray:
 def hits(filter_: np.ndarray, hashes: np.ndarray, bits: int = 24) -> np.ndarray:
     at = hashes.astype(U64, copy=False) >> U64(64 - bits)
     return (filter_[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & U64(1)).astype(bool)
+
+
+def may_hold(filter_: np.ndarray, bits: int = 24):
+    """A UDF over a long column: may the bitmap hold it? The exact join comes after it."""
+
+    @F.pandas_udf("boolean")
+    def run(hashes: pd.Series) -> pd.Series:
+        return pd.Series(hits(filter_, hashes.to_numpy(np.int64).view(U64), bits))
+
+    return run

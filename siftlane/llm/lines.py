@@ -16,12 +16,11 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlane.llm.common import U64, bitmap, chunks, group_by_part, hits, materialize, mix, partitions, runs, tokens, unpack, with_key, with_row
+from siftlane.llm.common import U64, bitmap, chunks, group_by_part, hits, materialize, may_hold, mix, partitions, runs, tokens, unpack, with_key, with_row
 
 THRESHOLD = 0.8
 _CELLS, _BLOCK = 1 << 20, 1 << 12
@@ -294,14 +293,6 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return late.unionByName(found.where("kind = 1").select(*late.columns))
 
 
-def _touched(filter_: np.ndarray):
-    @F.pandas_udf("boolean")
-    def run(hashes: pd.Series) -> pd.Series:
-        return pd.Series(hits(filter_, hashes.to_numpy(np.int64).view(U64)))
-
-    return run
-
-
 def drop_similar_lines(docs: DataFrame, threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
     """docs with the later of any two similar lines removed from text; with counted the columns doc_id, text,
     n_lines and n_removed instead.
@@ -314,8 +305,8 @@ def drop_similar_lines(docs: DataFrame, threshold: float = THRESHOLD, counted: b
     gone = removed_lines(docs, threshold).groupBy("k_id", "k_text").agg(F.collect_list("line").alias("gone"))
     gone = materialize(gone, "gone")
     # only documents that may lose a line are shuffled: a fixed bitmap lets the others past the join
-    touched = bitmap(gone.select("k_text").distinct(), "k_text")
-    rows = with_row(docs).withColumn("touched", _touched(touched)(F.col("k_text")))
+    touched = may_hold(bitmap(gone.select("k_text").distinct(), "k_text"))
+    rows = with_row(docs).withColumn("touched", touched(F.col("k_text")))
     joined = rows.where("touched").join(gone, ["k_id", "k_text"], "left")
     rows = rows.where("not touched").withColumn("gone", F.lit(None).cast("array<int>")).unionByName(joined)
     lines = F.split(F.col("row.text"), "\n")

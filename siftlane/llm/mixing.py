@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlane.llm.common import materialize
+from siftlane.llm.common import bitmap, materialize, may_hold
 
 CELLS = 1 << 16
 QUALITY = {1: 2.0, 0: 0.5}
@@ -34,17 +34,25 @@ def _uniform(seed: int) -> Column:
     return (F.conv(h, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def _best_label(quality: DataFrame) -> DataFrame:
+    """q_id and q: a document labelled twice counts by its best label."""
+    return quality.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("q_id")).agg(F.max("quality").alias("q"))
+
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), token_count().alias("tokens"), *more)
+
+
+def _key(seed: int, q: Column | None = None) -> Column:
+    w = F.lit(1.0) if q is None else F.coalesce(*(F.when(q == k, F.lit(v)) for k, v in QUALITY.items()), F.lit(1.0))
+    return (-F.log(_uniform(seed)) / w).alias("key")
+
+
 def _keyed(docs: DataFrame, quality: DataFrame | None, seed: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), token_count().alias("tokens"))
+    rows = _sized(docs)
     if quality is None:
-        rows = rows.withColumn("w", F.lit(1.0))
-    else:
-        # a document labelled twice counts by its best label
-        q = quality.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("q_id")).agg(F.max("quality").alias("q"))
-        w = F.coalesce(*(F.when(F.col("q") == k, F.lit(v)) for k, v in QUALITY.items()), F.lit(1.0))
-        rows = rows.join(q, F.col("doc_id") == F.col("q_id"), "left").select("doc_id", "source", "tokens", w.alias("w"))
-    key = -F.log(_uniform(seed)) / F.col("w")
-    return rows.select("doc_id", "source", "tokens", key.alias("key"))
+        return rows.select("*", _key(seed))
+    return rows.join(_best_label(quality), F.col("doc_id") == F.col("q_id"), "left").select("doc_id", "source", "tokens", _key(seed, F.col("q")))
 
 
 def _cell() -> Column:
@@ -91,13 +99,14 @@ def plan(rows: DataFrame, weights: dict[str, float] | None, budget: int | None,
     return edge.join(fits, F.col("e.source").eqNullSafe(F.col("f.source")), "left").select("e.source", "e.epochs", "e.cell", "f.last")
 
 
-def _copies(rows: DataFrame, plan_: DataFrame) -> DataFrame:
+def _copies(rows: DataFrame, plan_: DataFrame, *more: str) -> DataFrame:
     p = plan_.alias("p")
     inside = (F.col("r.cell") < F.col("p.cell")) | (
         (F.col("r.cell") == F.col("p.cell")) & F.coalesce(F.struct("r.key", "r.doc_id") <= F.col("p.last"), F.lit(False))
     )
     copies = F.col("p.epochs") + inside.cast("long")
-    return rows.withColumn("cell", _cell()).alias("r").join(p, F.col("r.source").eqNullSafe(F.col("p.source"))).select("r.doc_id", "r.source", "r.tokens", copies.alias("copies"))
+    joined = rows.withColumn("cell", _cell()).alias("r").join(p, F.col("r.source").eqNullSafe(F.col("p.source")))
+    return joined.select("r.doc_id", "r.source", "r.tokens", *(f"r.{c}" for c in more), copies.alias("copies")).where("copies > 0")
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: dict[str, float] | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = 7) -> DataFrame:
@@ -111,18 +120,23 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: dict[str, fl
     source's order. Null doc_ids share one key. Other columns are ignored. An empty table gives none.
     """
     rows = materialize(_keyed(docs, quality, seed), "keys")
-    return _copies(rows, plan(rows, weights, budget, alpha)).where("copies > 0")
+    return _copies(rows, plan(rows, weights, budget, alpha))
 
 
 def mixed(docs: DataFrame, quality: DataFrame | None = None, weights: dict[str, float] | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = 7) -> DataFrame:
     """The documents that mix() takes, each as often as it says, with all their columns as they were."""
-    rows = materialize(_keyed(docs, quality, seed), "keys")
-    taken = _copies(rows, plan(rows, weights, budget, alpha)).where("copies > 0")
-    # copies depend on (doc_id, source, tokens) alone, so that repeated rows agree
-    taken = materialize(taken.groupBy("doc_id", "source", "tokens").agg(F.max("copies").alias("copies")), "taken").alias("t")
-    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("m_id"), F.col("source").cast("string").alias("m_source"), token_count().alias("m_tokens"))
-    on = F.col("m_id").eqNullSafe(F.col("t.doc_id")) & F.col("m_source").eqNullSafe(F.col("t.source")) & (F.col("m_tokens") == F.col("t.tokens"))
-    return d.join(taken, on).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+    chosen = materialize(plan(materialize(_keyed(docs, quality, seed), "keys"), weights, budget, alpha), "plan")
+    # the plan is a row a source; of the texts only those of documents with a label are shuffled, to meet it
+    rows = _sized(docs, F.struct("*").alias("row"))
+    if quality is None:
+        rows = rows.select("*", _key(seed))
+    else:
+        q = materialize(_best_label(quality), "labels")
+        labelled = may_hold(bitmap(q.select(F.xxhash64("q_id").alias("h")).distinct(), "h"))
+        rows = rows.withColumn("labelled", labelled(F.xxhash64("doc_id")))
+        met = rows.where("labelled").join(q, F.col("doc_id") == F.col("q_id"), "left")
+        rows = rows.where("not labelled").select("doc_id", "source", "tokens", "row", _key(seed)).unionByName(met.select("doc_id", "source", "tokens", "row", _key(seed, F.col("q"))))
+    return _copies(rows, chosen, "row").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 ORACLE = f"""
