@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from fractions import Fraction
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -131,8 +132,8 @@ def _signatures(rank: np.ndarray, num: int, den: int, parts: int):
     return run
 
 
-_PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("apart", pa.list_(pa.int8())), ("part", pa.int32()), ("others", pa.list_(pa.int64())), ("k_id", pa.int64()), ("k_text", pa.int64()), ("line", pa.int32()), ("m_id", pa.int64()), ("m_text", pa.int64()), ("m_line", pa.int32())])
-_PAIRS_SQL = "kind int, a long, apart array<byte>, part int, others array<long>, k_id long, k_text long, line int, m_id long, m_text long, m_line int"
+_PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("part", pa.int32()), ("others", pa.list_(pa.int64())), ("k_id", pa.int64()), ("k_text", pa.int64()), ("line", pa.int32()), ("m_id", pa.int64()), ("m_text", pa.int64()), ("m_line", pa.int32())])
+_PAIRS_SQL = "kind int, a long, part int, others array<long>, k_id long, k_text long, line int, m_id long, m_text long, m_line int"
 
 
 def _distinct(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -192,7 +193,7 @@ def _candidates(num: int, den: int, step: int = 1 << 22):
         ends = np.append(at, len(late)).astype(np.int32)
         order = np.lexsort((early, apart, late))
         others = pa.ListArray.from_arrays(pa.array(ends), pa.array(early[order].view(np.int64)))
-        return {"kind": np.full(len(at), 2), "a": late[at].view(np.int64), "apart": pa.ListArray.from_arrays(pa.array(ends), pa.array(apart[order].astype(np.int8))), "others": others}
+        return {"kind": np.full(len(at), 2), "a": late[at].view(np.int64), "others": others}
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
@@ -206,17 +207,18 @@ def _candidates(num: int, den: int, step: int = 1 << 22):
     return run
 
 
-def _sets(rank: np.ndarray, docs_filter: np.ndarray, sig_filter: np.ndarray):
+def _sets(rank: np.ndarray, docs_filter: np.ndarray, pair_filter: np.ndarray):
     def run(batches):
         for batch in batches:
-            hit = hits(docs_filter, batch.column("k_text").to_numpy(zero_copy_only=False).view(U64))
-            text = batch.column("text").filter(pa.array(hit))
-            for _, data, offs in chunks(text):
+            own = batch.column("k_text").to_numpy(zero_copy_only=False).view(U64)
+            hit = hits(docs_filter, own)
+            text, own = batch.column("text").filter(pa.array(hit)), own[hit]
+            for row, data, offs in chunks(text):
                 x = Lines(data, offs, rank)
                 if not x.n:
                     continue
-                _, one = np.unique(x.sig, return_index=True)
-                one = one[hits(sig_filter, x.sig[one])]
+                one = np.flatnonzero(hits(pair_filter, x.sig ^ own[row + x.doc]))
+                one = one[np.unique(x.sig[one], return_index=True)[1]]
                 sets = [x.key[x.first[i] : x.first[i] + x.size[i]].view(np.int64) for i in one]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x.sig[one].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "tokens"]
@@ -242,7 +244,9 @@ def _verify(num: int, den: int, step: int = 64):
         for a, others in zip(asked.column("a").to_pylist(), asked.column("others").to_pylist(), strict=True):
             i = place[a]
             mine = np.sort(token[first[i] : first[i] + size[i]])
-            cand = [j for j in map(place.__getitem__, others) if key[j] < key[i]]
+            # the likeliest of each partition's list, then the second, and so on
+            turns = (s for turn in zip_longest(*others) for s in turn if s is not None)
+            cand = [j for j in map(place.__getitem__, dict.fromkeys(turns)) if key[j] < key[i]]
             for k in range(0, len(cand), step):
                 c = np.array(cand[k : k + step])
                 n = size[c]
@@ -278,15 +282,14 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "lines",
     )
     # all that a set met, in one place: the first of the partitions where it did, which its near copies share
-    met = F.arrays_zip("apart", "others")
-    near = found.where("kind = 2").groupBy("a").agg(F.min("part").alias("home"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(met)))).alias("met"))
-    near = materialize(near.select("home", "a", F.col("met.others").alias("others")), "near")
-    need = near.select("home", F.explode(F.array_append("others", F.col("a"))).alias("sig")).distinct()
+    near = materialize(found.where("kind = 2").groupBy("a").agg(F.min("part").alias("home"), F.collect_list("others").alias("others")), "near")
+    need = near.select("home", F.explode(F.array_append(F.flatten("others"), F.col("a"))).alias("sig")).distinct()
     first = found.where("kind = 0").select(F.col("a").alias("sig"), "k_id", "k_text", "line")
     need = materialize(need.join(first, "sig"), "need")
-    filters = bitmap(need.select("k_text").distinct(), "k_text"), bitmap(need.select("sig").distinct(), "sig")
-    sets = keyed.select("k_text", "text").mapInArrow(_sets(rank, *filters), "sig long, tokens array<long>")
-    sets = sets.join(need.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.any_value("tokens").alias("tokens")).join(need, "sig")
+    # each set is taken from the text that has its first line; what the bitmaps let through besides, the join drops
+    once = need.select("k_text", F.col("sig").bitwiseXOR(F.col("k_text")).alias("pair")).distinct()
+    filters = bitmap(once.select("k_text").distinct(), "k_text"), bitmap(once, "pair")
+    sets = keyed.select("k_text", "text").mapInArrow(_sets(rank, *filters), "sig long, tokens array<long>").join(need, "sig")
     hit = near.groupBy("home").cogroup(sets.groupBy("home")).applyInArrow(_verify(num, den), "a long, k_id long, k_text long, line int, m_id long, m_text long, m_line int")
     late = hit.drop("a")
     # a later copy of a set whose first line has an earlier match still has that first line as a match
