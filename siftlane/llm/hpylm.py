@@ -1,12 +1,12 @@
-"""Operator 8, language-model scoring by a hierarchical Pitman-Yor model of order 5 over characters.
+"""Operator 8, language-model scoring by a hierarchical Pitman-Yor model of order 6 over characters.
 
-Characters (lower case) are 64 symbols. Every context is a Chinese restaurant: of length 4, with the corpus's counts
+Characters (lower case) are 64 symbols. Every context is a Chinese restaurant: of length 5, with the corpus's counts
 as customers, down to the empty one over a uniform base. Each table of a restaurant is a customer of its parent, the
 context without its oldest symbol. Counts come from all documents, whole.
 
 Restaurants whose contexts end in the same two symbols share all their ancestors down to length 2, and lie in one of
 PARTS parts. A round lets every part sample its seating by Gibbs (customers are taken out at random and seated again,
-all dishes of a level at once), levels 4 to 2, given the predictive probabilities of the two levels above. Those
+all dishes of a level at once), levels 5 to 2, given the predictive probabilities of the two levels above. Those
 (at most 65 restaurants) are sampled on the driver from the parts' table counts, between rounds. After the burn-in
 each round's predictive probabilities are a sample; scores use their mean. A text's perplexity is per symbol.
 """
@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from siftlane.llm.common import U64, chunks, group_by_part, materialize, mix, unpack
 
-SYMBOLS, LEVELS, PARTS = 64, 5, 64
+SYMBOLS, LEVELS, PARTS = 64, 6, 64
+LENGTHS = (5, 4, 3, 2)  # of the contexts that the parts hold
 BURN_IN, SAMPLES, MOVES = 3, 4, 4
-DISCOUNT = (0.3, 0.5, 0.6, 0.7, 0.8)  # by length of the context
-STRENGTH = (1.0, 1.0, 1.0, 1.0, 1.0)
+DISCOUNT = (0.3, 0.5, 0.6, 0.7, 0.75, 0.8)  # by length of the context
+STRENGTH = (1.0,) * 6
 MAX_MODEL = 1 << 24  # entries of the model that a scoring pass holds; a larger model takes more passes
 
 _SYMBOL = np.zeros(1 << 16, np.uint32)
@@ -42,33 +43,34 @@ for _c in "üß":
 
 
 def ngrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """30-bit code of every symbol with the 4 before it (0 before a text's first), and the row that each is in."""
+    """36-bit code of every symbol with the 5 before it (0 before a text's first), and the row that each is in."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
     first = (data & 0xC0) != 0x80
     ends = np.concatenate([[0], np.cumsum(first)])[offs]
     n = np.diff(ends)
     row = np.repeat(np.arange(len(n)), n)
-    padded = np.zeros(len(points) + 4 * len(n), np.uint32)
-    at = np.arange(len(points)) + 4 * (row + 1)
+    pad = LEVELS - 1
+    padded = np.zeros(len(points) + pad * len(n), U64)
+    at = np.arange(len(points)) + pad * (row + 1)
     padded[at] = _SYMBOL[np.minimum(points, (1 << 16) - 1)]
     code = padded[at]
     for k in range(1, LEVELS):
-        code = code | padded[at - k] << np.uint32(6 * k)
+        code = code | padded[at - k] << U64(6 * k)
     return code, row
 
 
-_COUNT = np.dtype([("code", "<u4"), ("n", "<u8")])
+_COUNT = np.dtype([("code", "<u8"), ("n", "<u4")])
 
 
 def _sum(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     o = np.argsort(codes)
     codes, counts = codes[o], counts[o]
-    at = np.flatnonzero(np.diff(codes, prepend=codes[:1] ^ np.uint32(1)))
+    at = np.flatnonzero(np.diff(codes, prepend=codes[:1] ^ U64(1)))
     return codes[at], np.add.reduceat(counts, at)
 
 
 def part_of(code: np.ndarray) -> np.ndarray:
-    return mix((code >> np.uint32(6) & np.uint32(4095)).astype(U64)) % U64(PARTS)
+    return mix((code >> U64(6) & U64(4095)).astype(U64)) % U64(PARTS)
 
 
 def _count(batches):
@@ -95,10 +97,13 @@ def _count(batches):
 
 
 def _packed(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    while n.max() >= 1 << 32:  # in several records
+        big = n >= 1 << 32
+        code, n = np.concatenate([code, code[big]]), np.concatenate([np.where(big, (1 << 32) - 1, n), n[big] - ((1 << 32) - 1)])
     rec = np.empty(len(code), _COUNT)
     rec["code"], rec["n"] = code, n
     # the part is the hash of the context's last two symbols, so that whole subtrees stay together
-    return group_by_part(rec, (code >> np.uint32(6) & np.uint32(4095)).astype(U64), PARTS)
+    return group_by_part(rec, (code >> U64(6) & U64(4095)).astype(U64), PARTS)
 
 
 # --- seating -----------------------------------------------------------------------------------
@@ -107,8 +112,8 @@ class Level:
 
     def __init__(self, code: np.ndarray, discount: float, strength: float):
         self.code, self.d, self.theta = code, discount, strength
-        context = code >> np.uint32(6)
-        new = np.diff(context, prepend=context[:1] ^ np.uint32(1)) != 0
+        context = code >> U64(6)
+        new = np.diff(context, prepend=context[:1] ^ U64(1)) != 0
         self.context, self.rest = context[new], np.cumsum(new) - 1
         self.c = np.zeros(len(code), np.int64)
         self.owner, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -193,26 +198,26 @@ class Level:
 
 
 class Tree:
-    """The restaurants of contexts of length 4, 3 and 2 of one part."""
+    """The restaurants of contexts of the LENGTHS of one part."""
 
     def __init__(self, code: np.ndarray, counts: np.ndarray, top: np.ndarray, rng: np.random.Generator):
         self.levels, self.up = [], []
-        for length in (4, 3, 2):
+        for length in LENGTHS:
             self.levels.append(Level(code, DISCOUNT[length], STRENGTH[length]))
-            code, up = np.unique(code & np.uint32((1 << 6 * length) - 1), return_inverse=True)
+            code, up = np.unique(code & U64((1 << 6 * length) - 1), return_inverse=True)
             self.up.append(up)
         self.last = code
         self.sums = None
         base = self._bases(top, flat=True)
         for k, level in enumerate(self.levels):
             level.fill(counts, base[k], rng)
-            counts = np.bincount(self.up[k], level.t, minlength=len(self.levels[k + 1].code) if k < 2 else len(self.last)).astype(np.int64)
+            counts = np.bincount(self.up[k], level.t, minlength=len(self.levels[k + 1].code) if k + 1 < len(LENGTHS) else len(self.last)).astype(np.int64)
 
     def _bases(self, top: np.ndarray, flat: bool = False) -> list[np.ndarray]:
         """For each level the parent's probability of each type."""
-        base = top[self.last >> np.uint32(6), self.last & np.uint32(63)][self.up[2]]
+        base = top[self.last >> U64(6), self.last & U64(63)][self.up[-1]]
         out = [base]
-        for k in (2, 1):
+        for k in range(len(LENGTHS) - 1, 0, -1):
             p = base if flat else self.levels[k].predict(base)
             base = p[self.up[k - 1]]
             out.append(base)
@@ -221,7 +226,7 @@ class Tree:
     def round(self, top: np.ndarray, moves: int, rng: np.random.Generator, sample: bool) -> None:
         for k, level in enumerate(self.levels):
             level.sweep(self._bases(top)[k], moves, rng)
-            if k < 2:
+            if k + 1 < len(LENGTHS):
                 self.levels[k + 1].follow(np.bincount(self.up[k], level.t, minlength=len(self.levels[k + 1].code)).astype(np.int64), self._bases(top)[k + 1], rng)
         if sample:
             base = self._bases(top)
@@ -230,8 +235,8 @@ class Tree:
 
     def top_customers(self) -> np.ndarray:
         out = np.zeros((SYMBOLS, SYMBOLS), np.int64)
-        t = np.bincount(self.up[2], self.levels[2].t, minlength=len(self.last)).astype(np.int64)
-        out[self.last >> np.uint32(6), self.last & np.uint32(63)] = t
+        t = np.bincount(self.up[-1], self.levels[-1].t, minlength=len(self.last)).astype(np.int64)
+        out[self.last >> U64(6), self.last & U64(63)] = t
         return out
 
 
@@ -239,7 +244,7 @@ class Top:
     """The restaurants of one symbol of context and of none, on the driver: at most 65."""
 
     def __init__(self, rng: np.random.Generator):
-        code = np.arange(SYMBOLS * SYMBOLS, dtype=np.uint32)
+        code = np.arange(SYMBOLS * SYMBOLS, dtype=U64)
         self.one, self.none, self.rng = Level(code, DISCOUNT[1], STRENGTH[1]), Level(code[:SYMBOLS], DISCOUNT[0], STRENGTH[0]), rng
         self.uniform = np.full(SYMBOLS, 1 / SYMBOLS)
 
@@ -321,7 +326,7 @@ def fit(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, moves:
         top = driver.round(customers.reshape(SYMBOLS, SYMBOLS), moves)
         if number >= burn_in:
             tops.append(top)
-        state = materialize(state.repartition("part").mapInArrow(_round(top, seed, number, moves, number >= burn_in), _STATE_SQL), "seating")
+        state = materialize(state.mapInArrow(_round(top, seed, number, moves, number >= burn_in), _STATE_SQL), "seating")
     entries = materialize(state.mapInArrow(_entries(samples), "part int, table int, code long, value float"), "model")
     return entries, np.mean(tops, axis=0)
 
@@ -331,9 +336,9 @@ class Model:
 
     def __init__(self, table: np.ndarray, code: np.ndarray, value: np.ndarray, top: np.ndarray):
         self.tables, self.top = [], top.astype(np.float32)
-        for k in range(6):
+        for k in range(2 * len(LENGTHS)):
             mine = table == k
-            c, v = code[mine].astype(np.uint32), value[mine]
+            c, v = code[mine].astype(U64), value[mine]
             o = np.argsort(c)
             self.tables.append((c[o], v[o]))
 
@@ -349,16 +354,16 @@ class Model:
         rest = np.flatnonzero(~seen)
         if len(rest):
             p = p.copy()
-            p[rest] = self._backed(code[rest], 4)
+            p[rest] = self._backed(code[rest], LENGTHS[0])
         return p
 
     def _backed(self, code: np.ndarray, length: int) -> np.ndarray:
-        known, w = self._find(2 * (4 - length) + 1, code >> np.uint32(6))
+        known, w = self._find(2 * (LENGTHS[0] - length) + 1, code >> U64(6))
         w = np.where(known, w, np.float32(1))
-        lower = code & np.uint32((1 << 6 * length) - 1)
+        lower = code & U64((1 << 6 * length) - 1)
         if length == 2:
-            return w * self.top[lower >> np.uint32(6), lower & np.uint32(63)]
-        seen, p = self._find(2 * (5 - length), lower)
+            return w * self.top[lower >> U64(6), lower & U64(63)]
+        seen, p = self._find(2 * (LENGTHS[0] - length + 1), lower)
         rest = np.flatnonzero(~seen)
         p = p.copy()
         if len(rest):
