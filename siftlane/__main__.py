@@ -26,7 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("folder")
     p.add_argument("argument", nargs="?")
     p.add_argument("--config")
-    p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--preview", help="print the report and write nothing", action="store_true")
     a = p.parse_args(argv)
     if a.command in ("find", "search") and not a.argument:
         print(f"{a.command} needs an argument", file=sys.stderr)
@@ -62,22 +62,22 @@ def main(argv: list[str] | None = None) -> int:
     counted = keywords.counts(rows, "text", own) if redactor.mode == "keyword" and own else None
     kw = report.keyword_tally(found, keywords.table(spark, own), counted)
     built = report.build(found, kw, cfg["replacement"])
-    if not a.dry_run:
+    if not a.preview:
         sinks.write_tree(done, cfg["output_dir"], text="redacted").count()
         plain = Redactor((), tuple(own), cfg["replacement"])
         if own and plain.mode == "keyword":
             by = {k.find.lower(): k.replace or cfg["replacement"] for k in own}
             import re
 
-            rx = re.compile(r"(?i)\b(?:" + "|".join(re.escape(k.find) for k in sorted(own, key=lambda k: -len(k.find))) + r")\b")
+            rx = re.compile(keywords.pattern(own).removeprefix(keywords.spans.FLAGS), re.IGNORECASE)
             swap = lambda t: rx.sub(lambda m: by.get(m.group().lower(), cfg["replacement"]), t)
             html = readers.html_files(files).select("path", html_redact("text", swap, swap).alias("redacted"))
             sinks.write_tree(html, cfg["output_dir"], text="redacted").count()
     stats = done.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("n_redactions") > 0).cast("long")), F.lit(0)).alias("m")).first()
     flags = report.engaged(cfg["entities"], False, own)
-    print(report.render(built, flags, "REDACTION PREVIEW (--dry-run)" if a.dry_run else "REDACTION COMPLETE", stats["n"], stats["m"], output=None if a.dry_run else cfg["output_dir"]))
+    print(report.render(built, flags, "REDACTION PREVIEW" if a.preview else "REDACTION COMPLETE", stats["n"], stats["m"], output=None if a.preview else cfg["output_dir"]))
     return 0
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    raise SystemExit(main())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlane.functions.spans import FLAGS, as_column
 
-MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+MONTHS = "January February March April May June July August September October November December".split()
 
 
 def strip(c: Column | str) -> Column:
@@ -40,7 +40,7 @@ def lines(c: Column | str) -> Column:
 
 def sanitize(c: Column | str) -> Column:
     """A pseudonym as part of a file name; nothing left gives REDACTED."""
-    safe = F.regexp_replace(F.regexp_replace(as_column(c), "[^A-Za-z0-9._-]+", "_"), "_+", "_")
+    safe = F.regexp_replace(F.regexp_replace(as_column(c), "[^a-zA-Z0-9_.-]+", "_"), "_+", "_")
     safe = F.regexp_replace(safe, "^_+|_+$", "")
     return F.when(safe == "", "REDACTED").otherwise(safe)
 
@@ -82,7 +82,7 @@ def host(url: Column | str) -> Column:
 
 def url_label(url: Column | str) -> Column:
     """The host's last but one part: the word that names the service."""
-    parts = F.filter(F.split(F.regexp_replace(host(url), "[^a-z0-9.-]+$", ""), "[.]"), lambda p: p != "")
+    parts = F.filter(F.split(F.regexp_replace(host(url), "[^.a-z0-9-]+$", ""), "[.]"), lambda p: p != "")
     return F.coalesce(F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(1)), F.lit(""))
 
 
@@ -101,14 +101,14 @@ def norm_heading(c: Column | str) -> Column:
 
 def fix_ocr(c: Column | str) -> Column:
     """A lone | is the letter I; so is l before 've, 'm, 'll or 'd."""
-    c = F.regexp_replace(as_column(c), r"(?U)(?<!\S)\|(?!\S)", "I")
-    return F.regexp_replace(c, r"(?U)\bl(['’](?:ve|m|ll|d)\b)", "I$1")
+    c = F.regexp_replace(as_column(c), r"(?U)(?<!\S)[|](?!\S)", "I")
+    return F.regexp_replace(c, r"(?U)\bl(?=['’](?:d|m|ll|ve)\b)", "I")
 
 
 def date_of(name: Column | str) -> Column:
     """struct<year, month, label> of a stem with 20YY-M or 20YY_M; (0, 0, stem) without."""
     name = as_column(name)
-    p = r"(20\d{2})[-_](\d{1,2})"
+    p = "(20[0-9]{2})[_-]([0-9]{1,2})"
     y, m = F.regexp_extract(name, p, 1), F.regexp_extract(name, p, 2)
     month = F.when(m == "", 0).otherwise(m.try_cast("int"))
     word = F.try_element_at(F.array(*map(F.lit, MONTHS)), F.when((month >= 1) & (month <= 12), month).otherwise(13))
@@ -116,12 +116,12 @@ def date_of(name: Column | str) -> Column:
     return F.struct(F.when(y == "", 0).otherwise(y.try_cast("int")).alias("year"), month.alias("month"), label.alias("label"))
 
 
-_DAY = r"([A-Z][a-z]{2,8}\.?\s+\d{1,2},\s*\d{4})"
+_DAY = r"(\p{Lu}\p{Ll}{2,8}[.]?\s+[0-9]{1,2},\s*[0-9]{4})"
 
 
 def review_period(c: Column | str) -> Column:
     """'Mon D, YYYY – Mon D, YYYY' where the text has two such dates joined by a dash; else null."""
-    p = rf"(?U){_DAY}\s*[-–—]\s*{_DAY}"
+    p = rf"(?U){_DAY}\s*[—–-]\s*{_DAY}"
     a, b = (F.regexp_extract(as_column(c), p, i) for i in (1, 2))
     return F.when(a != "", F.concat(a, F.lit(" – "), b))
 
@@ -152,7 +152,7 @@ def global_coordinates(x: Column, y: Column, x0: Column, y0: Column, x1: Column,
 
 
 def is_uuid(c: Column | str) -> Column:
-    return F.lower(as_column(c)).rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z")
+    return F.lower(as_column(c)).rlike(r"^[a-f0-9]{8}(?:-[a-f0-9]{4}){3}-[a-f0-9]{12}\z")
 
 
 def looks_like_json(c: Column | str) -> Column:

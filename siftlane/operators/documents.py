@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
-SKIP_TAGS = frozenset({"script", "style", "code", "pre"})
+SKIP_TAGS = frozenset("script style code pre".split())
+_LINK = re.compile("https?://", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -24,7 +25,7 @@ def _each(fn, values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else fn(v))
 
 
-# --- JSON --------------------------------------------------------------------------------------
+# JSON
 def strings(obj) -> list[str]:
     """String values in order, at any depth, without recursion; keys are left out."""
     out, stack = [], [obj]
@@ -82,7 +83,7 @@ def json_redact(text: Column | str, swap, nested: bool = True, indent: int | Non
     return run(text)
 
 
-# --- CSV ---------------------------------------------------------------------------------------
+# CSV
 @pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def csv_cells(texts: pd.Series) -> pd.Series:
     """Rows of cells; rows may differ in length and nothing is a header."""
@@ -104,7 +105,7 @@ def redact_cells(cells: Column, new) -> Column:
     return F.transform(cells, lambda row: F.transform(row, new))
 
 
-# --- HTML --------------------------------------------------------------------------------------
+# HTML
 class _Rewriter(HTMLParser):
     """Writes HTML out again with text and link targets swapped. Text straight below SKIP_TAGS stays as it is."""
 
@@ -127,7 +128,7 @@ class _Rewriter(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "a" and self.links:
             link, text = self.links.pop()
-            if self.label and re.match(r"(?i)https?://", link.strip()) and not re.search(r"(?i)https?://\S", "".join(text)):
+            if self.label and _LINK.match(link.strip()) and not _LINK.search("".join(text)):
                 self.out.append(" " + escape(self.label(link), quote=False))
         if tag in self.open:
             while self.open and self.open.pop() != tag:
@@ -270,7 +271,7 @@ def html_markdown(pages: pd.Series) -> pd.Series:
     return _each(one, pages)
 
 
-# --- DOCX --------------------------------------------------------------------------------------
+# DOCX
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 

@@ -13,7 +13,7 @@ from siftlane.operators.keywords import Keyword, pattern
 MIN_LENGTH = 4
 
 
-def split_keywords(keywords: list[Keyword], min_length: int = MIN_LENGTH) -> tuple[list[Keyword], list[str], list[str]]:
+def split_keywords(keywords: list[Keyword], min_length: int = MIN_LENGTH) -> tuple[list[Keyword], list, list]:
     """Aliased keywords, plain terms, and terms too short to be matched in names."""
     long = [k for k in keywords if len(k.find) >= min_length]
     short = sorted({k.find for k in keywords if len(k.find) < min_length})
@@ -24,7 +24,7 @@ def safe_name(pseudonym: str) -> str:
     """text.sanitize() for one value on the driver."""
     import re
 
-    return re.sub("_+", "_", re.sub(r"[^A-Za-z0-9._-]+", "_", pseudonym)).strip("_") or "REDACTED"
+    return re.sub("_+", "_", re.sub("[^a-zA-Z0-9_.-]+", "_", pseudonym)).strip("_") or "REDACTED"
 
 
 def _renamed(part: Column, aliased: list[Keyword]) -> Column:

@@ -45,10 +45,10 @@ def own_output(rel: Column | str, base: str) -> Column:
     rel = F.col(rel) if isinstance(rel, str) else rel
     parts = F.split(rel, "/")
     folder = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: (p == base) | p.startswith(f"{base}-"))
-    return folder | F.element_at(parts, -1).rlike(r"(?i)^redaction-report.*\.md$")
+    return folder | F.element_at(parts, -1).rlike(r"(?i)^redaction-report.*[.]md$")
 
 
-# --- duplicates --------------------------------------------------------------------------------
+# duplicates
 def duplicate_groups(items: DataFrame, item: str, content: str, algorithm: str = "md5") -> DataFrame:
     """hash, n and size of every content that occurs more than once. Sizes that occur once are never hashed, and
     what is shuffled is the key and its size, never the content."""
@@ -86,7 +86,7 @@ def duplicate_report(files: DataFrame, algorithm: str = "md5") -> DataFrame:
     return groups.select("hash", "count", F.get(files_, F.lit(0))["size"].alias("size_bytes"), F.element_at(files_, -1).alias("newest"), files_.alias("all_files"))
 
 
-# --- folders -----------------------------------------------------------------------------------
+# folders
 def ancestors(path: Column | str) -> Column:
     """All folders above a path, the top one first."""
     parts = F.split(F.col(path) if isinstance(path, str) else path, "/")

@@ -97,7 +97,7 @@ def table(spark: SparkSession, keywords: list[Keyword]) -> DataFrame:
     return spark.createDataFrame([(i, k.find, k.replace) for i, k in enumerate(keywords)], "idx int, find string, replace string")
 
 
-# --- names list -> codes -----------------------------------------------------------------------
+# names list -> codes
 def name_terms(lines: DataFrame) -> DataFrame:
     """Terms of a names list from (lineno, line): lineno, header, pos and term. A '# X' line names the group of the
     lines after it; a line's comma-separated terms are aliases of one person. Lines before any header give none."""

@@ -12,8 +12,6 @@ from siftlane.functions.text import url_token
 from siftlane.operators import keywords as kw
 from siftlane.operators import recognizers as rec
 
-DEFAULT_ENTITIES = ("PERSON", "EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "IBAN_CODE", "IP_ADDRESS", "US_SSN")
-
 
 @dataclass(frozen=True)
 class Redactor:

@@ -72,10 +72,10 @@ def build(tally: DataFrame, keywords: DataFrame, replacement: str) -> dict:
 
 
 _SECTIONS = (
-    ("pattern", "PATTERN MATCHES  (regex — deterministic)", "no regex entity types configured", "regex active, no matches"),
-    ("model", "MODEL ENTITIES  (NER — probabilistic)", "no NER types configured", "NER active, no matches"),
-    ("blackout", "CUSTOM KEYWORDS — blacked out", "no plain keywords configured", "plain keywords active, no matches"),
-    ("replaced", "CUSTOM KEYWORDS — replaced", "no pseudonym keywords configured", "pseudonym keywords active, no matches"),
+    ("pattern", "PATTERN MATCHES  (regex — deterministic)", "no pattern types were asked for", "patterns ran and found nothing"),
+    ("model", "MODEL ENTITIES  (NER — probabilistic)", "no model types were asked for", "the model ran and found nothing"),
+    ("blackout", "CUSTOM KEYWORDS — blacked out", "there are no plain keywords", "plain keywords ran and found nothing"),
+    ("replaced", "CUSTOM KEYWORDS — replaced", "there are no keywords with pseudonyms", "they ran and found nothing"),
 )
 
 
@@ -99,7 +99,7 @@ def render(report: dict, flags: dict[str, bool], title: str, scanned: int, match
     """The report as text. A preview and a real run differ in title and output line alone."""
     bar, thin = "═" * 68, "─" * 48
     out = [bar, f"  {title}", *([f"  Output at: {output}"] if output is not None else [])]
-    out += [f"  Extensions scanned: {', '.join(extensions) if extensions else '(all configured)'}        {scanned} files scanned · {matched} with matches", bar, ""]
+    out += [f"  Extensions scanned: {', '.join(extensions or ['all'])}        {scanned} files scanned · {matched} with matches", bar, ""]
     for key, head, absent, empty in _SECTIONS:
         body = _section(report, key) or [f"    none   ← {empty}" if flags.get(key, True) else f"    N/A    ← {absent}"]
         out += [head, thin, *body, ""]
@@ -119,9 +119,9 @@ def render_markdown(report: dict, flags: dict[str, bool], heading: str, meta: li
         ("Keywords — replaced", f"{len(report['replaced'])} pseudonyms · {sum(g[2] for g in report['replaced'])} hits"),
         ("GRAND TOTAL", report["grand_total"]),
     ]
-    bullets = [f"- **{m[0]}:** {m[1]}" if isinstance(m, tuple) else f"- {m}" for m in meta]
+    bullets = ["- " + ("**{}:** {}".format(*m) if isinstance(m, tuple) else m) for m in meta]
     banner = ["> **SENSITIVE: this report quotes the matched texts.**", "> Keep it local and outside the output folder."]
-    return "\n".join([f"# {heading}", "", *banner, "", *([*bullets, ""] if bullets else []), "## Summary", "", "| Metric | Value |", "|---|---|", *(f"| {a} | {b} |" for a, b in rows), "", "## Itemized", "", "```", render(report, flags, **how), "```", ""])
+    return "\n".join([f"# {heading}", "", *banner, "", *([*bullets, ""] if bullets else []), "## Summary", "", "| What | How much |", "| :-- | :-- |", *(f"| {a} | {b} |" for a, b in rows), "", "## Itemized", "", "```", render(report, flags, **how), "```", ""])
 
 
 def render_scan(rows: list) -> str:

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from siftlane.functions.text import date_of, fix_ocr, norm_heading, strip
 
-BULLET, NUMBER = r"(?U)^\s*[-•‣⁃▪*·]\s+", r"(?U)^\s*\d{1,2}[.)]\s+"
+BULLET, NUMBER = r"(?U)^\s*[*·▪⁃‣•-]\s+", r"(?U)^\s*[0-9]{1,2}[).]\s+"
 INDENT, GAP = 0.012, 1.6
 
 
 def is_junk(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
-    return text.rlike(r"(?U)^[\s•·▪‣⁃\-*–—|]+$") | text.rlike(r"^([A-Za-z]|[A-Za-z]{1,5}\.{2,})$")
+    return text.rlike(r"(?U)^[|—–*⁃‣▪·•\s-]+$") | text.rlike("^[a-zA-Z](?:[a-zA-Z]{0,4}[.]{2,})?$")
 
 
 def column_band(rows: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:

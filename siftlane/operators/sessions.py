@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from siftlane.functions.text import file_name
 
-SPACE_KEYS = ("spaceId", "space_id", "projectId", "project_id", "space", "project")
-NESTED_KEYS = ("id", "spaceId", "uuid")
-TITLE_KEYS = ("title", "name", "summary", "subject")
+SPACE_KEYS = "spaceId space_id projectId project_id space project".split()
+NESTED_KEYS = "id spaceId uuid".split()
+TITLE_KEYS = "title name summary subject".split()
 
 
 def _string(json: Column, path: str) -> Column:

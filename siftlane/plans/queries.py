@@ -39,7 +39,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# --- keywords ----------------------------------------------------------------------------------
+# keywords
 KEYWORDS = [Keyword("the", "[W-01]"), Keyword("and the", "[W-02]"), Keyword("and"), Keyword("der"), Keyword("les", "[W-03]"), Keyword("la", "[W-03]")]
 _KW = r"(?i)\b(?:and the|the|and|der|les|la)\b"
 #: accented letters as a plain one of the same length: DuckDB's word boundary knows ASCII letters alone
@@ -114,7 +114,7 @@ def duplicate_finds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.duplicate_finds(_names(spark))
 
 
-# --- spans -------------------------------------------------------------------------------------
+# spans
 @_query(
     f"""
 WITH a AS (SELECT doc_id, string_split_regex({_NORM}, '{_KW}') AS g, regexp_extract_all({_NORM}, '{_KW}') AS m FROM documents
@@ -229,8 +229,8 @@ def scan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(rows, Redactor(("EMAIL_ADDRESS",), (Keyword("and"),)))
 
 
-# --- urls --------------------------------------------------------------------------------------
-_HOST = "regexp_replace(lower(regexp_extract(trim(url), '(?i)^https?://(?:[^/?#]*@)?([^/:?#]+)', 1)), '[^a-z0-9.-]+$', '')"
+# urls
+_HOST = "regexp_replace(lower(regexp_extract(trim(url), '(?i)^https?://(?:[^/?#]*@)?([^/:?#]+)', 1)), '[^.a-z0-9-]+$', '')"
 _LABEL = f"(SELECT coalesce(CASE WHEN len(p) >= 2 THEN p[-2] ELSE p[1] END, '') FROM (SELECT list_filter(string_split({_HOST}, '.'), lambda x: x <> '') AS p))"
 
 
@@ -244,8 +244,8 @@ def url_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").groupBy(tx.url_label("url").alias("label")).agg(F.count("*").alias("n"))
 
 
-# --- inventory ---------------------------------------------------------------------------------
-_EXT = (".md", ".txt", ".html", ".JSON", ".csv", ".py", ".pdf")
+# inventory
+_EXT = ".md .txt .html .JSON .csv .py .pdf".split()
 _PATH = f"lang || '/' || source || '/' || CASE WHEN n_chars > 3000 THEN 'redacted-' || lang || '/' ELSE '' END || 'doc-' || doc_id || {list(_EXT)}[doc_id % 7 + 1]"
 
 
@@ -324,7 +324,7 @@ def empty_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.empty_folders(folders, files)
 
 
-# --- search ------------------------------------------------------------------------------------
+# search
 _LINES = "SELECT conv_id, turn, unnest(range(1, len(l) + 1)) AS lineno, unnest(l) AS line FROM (SELECT conv_id, turn, CASE WHEN x[-1] = '' THEN x[:-2] ELSE x END AS l FROM (SELECT conv_id, turn, string_split_regex(text, '\\r\\n|[\\n\\x0b\\f\\r\\x1c-\\x1e]') AS x FROM conversations))"
 
 
@@ -339,7 +339,7 @@ def log_search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_totals(_t(spark, sf_dir, "conversations"), "conv_id", "text", "THAT")
 
 
-# --- file names --------------------------------------------------------------------------------
+# file names
 NAME_KEYS = [Keyword("building", "[SEG/01]"), Keyword("machinery", "[SEG/01]"), Keyword("house", "__H__"), Keyword("auto"), Keyword("it", "x")]
 _CUST = "n_name || ' ' || c_mktsegment || '/' || c_mktsegment || '-' || (c_custkey % 50)::VARCHAR || '.md'"
 _RENAMED = """regexp_replace(regexp_replace(path, '(?i)machinery|building', 'SEG_01', 'g'), '(?i)house', 'H', 'g')"""
@@ -374,7 +374,7 @@ def filename_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filenames.summary(_name_plan(spark, sf_dir), NAME_KEYS)
 
 
-# --- formats -----------------------------------------------------------------------------------
+# formats
 _CELL = [Keyword("customer", "[C-01]"), Keyword("building"), Keyword("supplier", "[S-01]")]
 _CELL_SQL = "regexp_replace(regexp_replace(regexp_replace({0}, '(?i)\\bcustomer\\b', '[C-01]', 'g'), '(?i)\\bbuilding\\b', '█████', 'g'), '(?i)\\bsupplier\\b', '[S-01]', 'g')"
 
@@ -429,7 +429,7 @@ def html_to_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").select("page_id", docs_op.html_markdown("html").alias("markdown"))
 
 
-# --- sessions ----------------------------------------------------------------------------------
+# sessions
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as a session of the space that its number names."""
     c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"))
@@ -501,7 +501,7 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.snapshot_diff(_items(spark, sf_dir, "labels", "doc_id"), _items(spark, sf_dir, "embeddings", "vec_id"))
 
 
-# --- verification ------------------------------------------------------------------------------
+# verification
 def _flat(result: DataFrame) -> DataFrame:
     return result.select("id", "status", "n", F.array_join("items", ",").alias("items"))
 
@@ -575,7 +575,7 @@ def machine_summary_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.last_summary(_log(spark)).select("s.*")
 
 
-# --- sections ----------------------------------------------------------------------------------
+# sections
 _LAYOUT = """l AS (
   SELECT doc_id AS image, unnest(range(len(x)))::INT AS ord, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)
 ), rows AS (SELECT image, ord, ord * 0.02 + (length(text) // 400) * 0.001 AS y, 0.1 + CASE WHEN length(text) % 7 = 0 THEN 0.02 ELSE 0 END AS x, text FROM l)"""
@@ -591,7 +591,7 @@ def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LONE = r"'(^|\s)[|](\s|$)', '\1I\2', 'g'"
 _FIXED = rf"regexp_replace(regexp_replace(text, {_LONE}), {_LONE})"
-_JUNK = r"(regexp_matches(text, '^[\s•·▪‣⁃\-*–—|]+$') OR regexp_matches(text, '^([A-Za-z]|[A-Za-z]{1,5}\.{2,})$'))"
+_JUNK = r"(regexp_matches(text, '^[|—–*⁃‣▪·•\s-]+$') OR regexp_matches(text, '^[a-zA-Z]([a-zA-Z]{0,4}[.]{2,})?$'))"
 _SECTION = rf"""{_LAYOUT}, n AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY y, ord) AS pos, regexp_replace(lower(text), '[^a-z ]', ' ', 'g') AS w FROM rows WHERE NOT {_JUNK}
 ), s AS (SELECT *, min(CASE WHEN regexp_matches(w, 'ing') THEN pos END) OVER (PARTITION BY image) AS st FROM n
 ), e AS (SELECT *, min(CASE WHEN regexp_matches(w, 'rea') AND pos > st THEN pos END) OVER (PARTITION BY image) AS en FROM s
@@ -612,10 +612,10 @@ def section_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), m AS (SELECT image, arg_max(rx, struct_pack(c := c, f := -f)) AS margin FROM (SELECT image, rx, count(*) AS c, min(pos) AS f FROM r GROUP BY ALL) GROUP BY image
 ), d AS (SELECT image, coalesce(quantile_cont(gap, 0.5), 1.0) AS med FROM r GROUP BY image
 ), b AS (
-  SELECT image, pos, text, regexp_matches(text, '^\s*[-•‣⁃▪*·]\s+') AS ul, regexp_matches(text, '^\s*\d{{1,2}}[.)]\s+') AS ol, x > margin + 0.012 AS ind, coalesce(gap > med * 1.6, false) AS big FROM r JOIN m USING (image) JOIN d USING (image)
+  SELECT image, pos, text, regexp_matches(text, '^\s*[*·▪⁃‣•-]\s+') AS ul, regexp_matches(text, '^\s*[0-9]{{1,2}}[).]\s+') AS ol, x > margin + 0.012 AS ind, coalesce(gap > med * 1.6, false) AS big FROM r JOIN m USING (image) JOIN d USING (image)
 ), k AS (SELECT *, CASE WHEN ul THEN 'ul' WHEN ol THEN 'ol' WHEN ind AND pos > 1 THEN 'ul' ELSE 'p' END AS kind, ul OR ol OR pos = 1 OR big OR ind AS new FROM b
 ), o AS (SELECT *, sum(new::INT) OVER (PARTITION BY image ORDER BY pos) AS block FROM k)
-SELECT image, block::BIGINT AS block, arg_min(kind, pos) AS kind, string_agg(trim(CASE WHEN ul THEN regexp_replace(text, '^\s*[-•‣⁃▪*·]\s+', '') ELSE text END, ' ' || chr(9) || chr(13) || chr(12) || chr(11)), ' ' ORDER BY pos) AS text FROM o GROUP BY 1, 2"""
+SELECT image, block::BIGINT AS block, arg_min(kind, pos) AS kind, string_agg(trim(CASE WHEN ul THEN regexp_replace(text, '^\s*[*·▪⁃‣•-]\s+', '') ELSE text END, ' ' || chr(9) || chr(13) || chr(12) || chr(11)), ' ' ORDER BY pos) AS text FROM o GROUP BY 1, 2"""
 )
 def section_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.blocks(_layout(spark, sf_dir))
@@ -630,7 +630,7 @@ _ODATE = "o_orderpriority || '-' || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE st
 
 
 @_query(
-    rf"""WITH n AS (SELECT o_orderkey, {_ODATE} AS s FROM orders), p AS (SELECT *, regexp_extract(s, '(20\d{{2}})[-_](\d{{1,2}})', 1) AS y, regexp_extract(s, '(20\d{{2}})[-_](\d{{1,2}})', 2) AS m FROM n)
+    rf"""WITH n AS (SELECT o_orderkey, {_ODATE} AS s FROM orders), p AS (SELECT *, regexp_extract(s, '(20[0-9]{{2}})[_-]([0-9]{{1,2}})', 1) AS y, regexp_extract(s, '(20[0-9]{{2}})[_-]([0-9]{{1,2}})', 2) AS m FROM n)
 SELECT o_orderkey, CASE WHEN y = '' THEN 0 ELSE y::INT END AS year, CASE WHEN m = '' THEN 0 ELSE m::INT END AS month, CASE WHEN y = '' THEN s ELSE monthname(make_date(2000, m::INT, 1)) || ' ' || y END AS label FROM p"""
 )
 def section_dates(spark: SparkSession, sf_dir: str) -> DataFrame:

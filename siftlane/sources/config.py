@@ -6,7 +6,7 @@ import re
 from pathlib import Path
 
 DEFAULTS: dict = {
-    "entities": ["PERSON", "EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "IBAN_CODE", "IP_ADDRESS", "US_SSN"],
+    "entities": "PERSON EMAIL_ADDRESS PHONE_NUMBER CREDIT_CARD IBAN_CODE IP_ADDRESS US_SSN".split(),
     "custom_keywords": [], "replacement": "█████", "output_dir": "redacted", "copy_unhandled": False, "decode_nested_json": True,
     "regex_only": False, "report": False, "timestamp_outputs": False, "include_extensions": [], "skip_extensions": [],
     "tight_image_boxes": False, "redact_filenames": False, "filename_min_match_len": 4, "ocr": {"dpi": 200},

@@ -9,8 +9,6 @@ from siftlane.functions.text import decode
 from siftlane.operators.documents import csv_cells, docx_markdown
 from siftlane.sources.tree import content
 
-ALL = (".md", ".txt", ".html", ".htm", ".json", ".csv", ".docx")
-
 
 def read(files: DataFrame, *extensions: str) -> DataFrame:
     """path and content of the files with these extensions; content is read after the filter."""

@@ -23,7 +23,8 @@ def one(spark, text, column):
 
 def model_keywords(text, words, default=BLOCK):
     by = {k.find.lower(): default if k.replace is None else k.replace for k in words}
-    p = re.compile(r"(?i)\b(?:" + "|".join(re.escape(k.find) for k in sorted(words, key=lambda k: -len(k.find))) + r")\b")
+    alts = "|".join(map(re.escape, sorted((k.find for k in words), key=len, reverse=True)))
+    p = re.compile(rf"\b(?:{alts})\b", re.IGNORECASE)
     return p.sub(lambda m: by[m.group().lower()], text), len(p.findall(text))
 
 
@@ -136,7 +137,7 @@ def test_report_totals_and_text(spark):
     how = {"scanned": 2, "matched": 2}
     real, dry = report.render(built, flags, "DONE", output="out", **how), report.render(built, flags, "PREVIEW", **how)
     assert [x for x in real.split("\n") if "Output at" not in x and "DONE" not in x] == [x for x in dry.split("\n") if "PREVIEW" not in x]
-    assert "N/A    ← no NER types configured" in real and "GRAND TOTAL: 7 redactions across 2 files" in real
+    assert "N/A    ← no model types were asked for" in real and "GRAND TOTAL: 7 redactions across 2 files" in real
     assert "| GRAND TOTAL | 7 |" in report.render_markdown(built, flags, "H", ["x", ("Mode", "regex")], [("Errors", 0)], title="T", **how)
     assert "EMAIL_ADDRESS  (2 unique)" in report.render_scan(t.where("entity = 'EMAIL_ADDRESS'").collect())
     assert report.render_scan([]) == "  No candidate entities found."
