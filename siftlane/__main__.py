@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from siftlane.operators import inventory, keywords, report, search
-from siftlane.operators.documents import html_redact, html_text
+from siftlane.operators import structured
+from siftlane.operators.documents import csv_text, html_text
 from siftlane.operators.redact import Redactor, scan, tally
 from siftlane.sources import config, readers, sinks
 from siftlane.sources.tree import duplicates, tree
@@ -64,15 +65,10 @@ def main(argv: list[str] | None = None) -> int:
     built = report.build(found, kw, cfg["replacement"])
     if not a.preview:
         sinks.write_tree(done, cfg["output_dir"], text="redacted").count()
-        plain = Redactor((), tuple(own), cfg["replacement"])
-        if own and plain.mode == "keyword":
-            by = {k.find.lower(): k.replace or cfg["replacement"] for k in own}
-            import re
-
-            rx = re.compile(keywords.pattern(own).removeprefix(keywords.spans.FLAGS), re.IGNORECASE)
-            swap = lambda t: rx.sub(lambda m: by.get(m.group().lower(), cfg["replacement"]), t)
-            html = readers.html_files(files).select("path", html_redact("text", swap, swap).alias("redacted"))
-            sinks.write_tree(html, cfg["output_dir"], text="redacted").count()
+        sinks.write_tree(structured.redact_html(readers.html_files(files), redactor), cfg["output_dir"], text="redacted").count()
+        sinks.write_tree(structured.redact_json(readers.json_files(files), redactor, cfg["decode_nested_json"]).where("redacted is not null"), cfg["output_dir"], text="redacted").count()
+        cells = structured.redact_csv(readers.csv_files(files), redactor)
+        sinks.write_tree(cells.select("path", csv_text("cells").alias("redacted")), cfg["output_dir"], text="redacted").count()
     stats = done.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("n_redactions") > 0).cast("long")), F.lit(0)).alias("m")).first()
     flags = report.engaged(cfg["entities"], False, own)
     print(report.render(built, flags, "REDACTION PREVIEW" if a.preview else "REDACTION COMPLETE", stats["n"], stats["m"], output=None if a.preview else cfg["output_dir"]))

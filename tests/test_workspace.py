@@ -262,3 +262,22 @@ def test_every_query_has_stable_columns(spark):
     got = __spark_entry__.entry(spark)
     assert got.columns == ["doc_id", "redacted", "n_redactions"] and got.count() == 200
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_redaction_inside_formats(spark):
+    from siftlane.operators import structured
+
+    r = Redactor(("EMAIL_ADDRESS", "URL"), (Keyword("Ada", "[P-01]"), Keyword("notion", "[N-1]")))
+    rows = lambda *t: spark.createDataFrame([(str(i), x) for i, x in enumerate(t)], "path string, text string")
+    obj = {"Ada": "Ada", "n": 1, "in": '["a@b.org", {"k": "Ada"}]', "u": "x https://acme.notion.so/p"}
+    got = {x["path"]: x for x in structured.redact_json(rows(json.dumps(obj), "{", None), r).collect()}
+    assert json.loads(got["0"]["redacted"]) == {"Ada": "[P-01]", "n": 1, "in": '["█████", {"k": "[P-01]"}]', "u": "x [N-1 URL]"}
+    assert got["0"]["n_redactions"] == 4 and got["1"]["redacted"] is None and got["2"]["n_redactions"] == 0
+    page = '<p>Ada &lt; a@b.org</p><pre>Ada</pre><a href="https://acme.notion.so/p">QA Ada</a><a href="mailto:a@b.org">m</a>'
+    x = structured.redact_html(rows(page), r).first()
+    assert x["redacted"] == '<p>[P-01] &lt; █████</p><pre>Ada</pre><a href="[URL]">QA [P-01] [N-1 URL]</a><a href="mailto:█████">m</a>' and x["n_redactions"] == 5
+    plain = Redactor((), (Keyword("Ada", "[P-01]"),))
+    assert structured.redact_html(rows(page), plain).first()["n_redactions"] == 2
+    cells = spark.createDataFrame([("0", [["Ada", "a@b.org"], ["x"]])], "path string, cells array<array<string>>")
+    c = structured.redact_csv(cells, r).first()
+    assert c["cells"] == [["[P-01]", "█████"], ["x"]] and c["n_redactions"] == 2
