@@ -59,8 +59,11 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     rows = readers.text_files(files)
     done = redactor.apply(rows)
-    found = tally(done) if redactor.mode != "keyword" else spark.createDataFrame([], "entity string, matched_text string, count long")
-    counted = keywords.counts(rows, "text", own) if redactor.mode == "keyword" and own else None
+    # every text of every format, for the counts
+    leaves = structured.leaf_rows(rows, readers.html_files(files), readers.json_files(files), readers.csv_files(files), cfg["decode_nested_json"])
+    seen = redactor.apply(leaves)
+    found = tally(seen) if redactor.mode != "keyword" else spark.createDataFrame([], "entity string, matched_text string, count long")
+    counted = keywords.counts(leaves, "text", own) if redactor.mode == "keyword" and own else None
     kw = report.keyword_tally(found, keywords.table(spark, own), counted)
     built = report.build(found, kw, cfg["replacement"])
     if not a.preview:
@@ -69,7 +72,8 @@ def main(argv: list[str] | None = None) -> int:
         sinks.write_tree(structured.redact_json(readers.json_files(files), redactor, cfg["decode_nested_json"]).where("redacted is not null"), cfg["output_dir"], text="redacted").count()
         cells = structured.redact_csv(readers.csv_files(files), redactor)
         sinks.write_tree(cells.select("path", csv_text("cells").alias("redacted")), cfg["output_dir"], text="redacted").count()
-    stats = done.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("n_redactions") > 0).cast("long")), F.lit(0)).alias("m")).first()
+    by_file = seen.groupBy("path").agg(F.sum("n_redactions").alias("n"))
+    stats = by_file.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0)).alias("m")).first()
     flags = report.engaged(cfg["entities"], False, own)
     print(report.render(built, flags, "REDACTION PREVIEW" if a.preview else "REDACTION COMPLETE", stats["n"], stats["m"], output=None if a.preview else cfg["output_dir"]))
     return 0

@@ -110,3 +110,20 @@ def redact_csv(rows: DataFrame, redactor: Redactor) -> DataFrame:
     n = _all(flat, "leaves", redactor)
     new = redact_cells(F.col("cells"), lambda x: _new(redactor, x, x if redactor.mode == "keyword" else redactor.kept(x)))
     return n.select("path", new.alias("cells"), F.col("n_leaves").alias("n_redactions"))
+
+
+def leaf_rows(text: DataFrame, html: DataFrame, js: DataFrame, csv: DataFrame, nested: bool = True) -> DataFrame:
+    """(path, text), a row for every text that the redactor sees in files of all formats: what a report counts."""
+
+    @pandas_udf(_STRINGS)
+    def from_html(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [x for part in _take_html(t or "") for x in part])
+
+    @pandas_udf(_STRINGS)
+    def from_json(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _take_json(t, nested))
+
+    out = text.select("path", "text")
+    for rows in (html.select("path", from_html("text").alias("x")), js.select("path", from_json("text").alias("x")), csv.select("path", F.flatten("cells").alias("x"))):
+        out = out.unionByName(rows.select("path", F.explode("x").alias("text")))
+    return out
