@@ -17,9 +17,11 @@ from fractions import Fraction
 from itertools import zip_longest
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftlane.llm.common import U64, bitmap, chunks, group_by_part, hits, materialize, may_hold, mix, partitions, runs, tokens, unpack, with_key, with_row
 
@@ -296,6 +298,19 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return late.unionByName(found.where("kind = 1").select(*late.columns))
 
 
+@F.pandas_udf(T.StringType())
+def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines of those numbers; a text with none of them as it is."""
+
+    def one(text, numbers):
+        if text is None or numbers is None:
+            return text
+        drop = set(numbers)
+        return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
+
+    return pd.Series([one(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
+
+
 def drop_similar_lines(docs: DataFrame, threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
     """docs with the later of any two similar lines removed from text; with counted the columns doc_id, text,
     n_lines and n_removed instead.
@@ -311,15 +326,16 @@ def drop_similar_lines(docs: DataFrame, threshold: float = THRESHOLD, counted: b
     touched = may_hold(bitmap(gone.select("k_text").distinct(), "k_text"))
     rows = with_row(docs).withColumn("touched", touched(F.col("k_text")))
     joined = rows.where("touched").join(gone, ["k_id", "k_text"], "left")
-    rows = rows.where("not touched").withColumn("gone", F.lit(None).cast("array<int>")).unionByName(joined)
-    lines = F.split(F.col("row.text"), "\n")
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(stay, "\n"))
+    # the new text is made by one UDF, whose result no filter above it makes Spark compute again
+    joined = joined.withColumn("new", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(_without(F.col("row.text"), F.col("gone"))))
+    rows = rows.where("not touched").withColumns({"gone": F.lit(None).cast("array<int>"), "new": F.col("row.text")}).unionByName(joined)
+    text = F.col("new")
     if counted:
+        breaks = F.length("row.text") - F.length(F.replace(F.col("row.text"), F.lit("\n"), F.lit("")))
         return rows.select(
             F.col("row.doc_id").alias("doc_id"),
             text.alias("text"),
-            F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+            F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
             F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         )
-    return rows.select("row", text.alias("new")).select(*(F.col("new").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    return rows.select(*(F.col("new").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
