@@ -27,6 +27,7 @@ LENGTHS = (5, 4, 3, 2)  # of the contexts that the parts hold
 BURN_IN, SAMPLES, MOVES = 3, 4, 4
 DISCOUNT = (0.3, 0.5, 0.6, 0.7, 0.75, 0.8)  # by length of the context
 STRENGTH = (1.0,) * 6
+_CHUNK = 1 << 19  # bytes of text handled at once: some eight words of 64 bits are held for each
 MAX_MODEL = 1 << 24  # entries of the model that a scoring pass holds; a larger model takes more passes
 
 _SYMBOL = np.zeros(1 << 16, np.uint32)
@@ -81,15 +82,15 @@ def _count(batches):
         return _sum(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     for batch in batches:
-        for _, data, offs in chunks(batch.column("text")):
+        for _, data, offs in chunks(batch.column("text"), limit=_CHUNK):
             code, n = np.unique(ngrams(data, offs)[0], return_counts=True)
             if len(code):
                 held.append((code, n.astype(np.int64)))
                 size += len(code)
-                if size > 1 << 22:
+                if size > 1 << 21:
                     held = [merged()]
                     size = len(held[0][0])
-                    if size > 1 << 21:
+                    if size > 1 << 20:
                         yield _packed(*held.pop())
                         size = 0
     if held:
@@ -376,7 +377,7 @@ def _score(model, passes: int, number: int):
         m = model.value
         for batch in batches:
             n, lp = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for row, data, offs in chunks(batch.column("text")):
+            for row, data, offs in chunks(batch.column("text"), limit=_CHUNK):
                 code, of = ngrams(data, offs)
                 if passes > 1:
                     mine = part_of(code) % U64(passes) == number
