@@ -5,15 +5,21 @@ as customers, down to the empty one over a uniform base. Each table of a restaur
 context without its oldest symbol. Counts come from all documents, whole.
 
 Restaurants whose contexts end in the same two symbols share all their ancestors down to length 2, and lie in one of
-PARTS parts. A round lets every part sample its seating by Gibbs (customers are taken out at random and seated again,
-all dishes of a level at once), levels 5 to 2, given the predictive probabilities of the two levels above. Those
-(at most 65 restaurants) are sampled on the driver from the parts' table counts, between rounds. After the burn-in
-each round's predictive probabilities are a sample; scores use their mean. A text's perplexity is per symbol.
+PARTS parts. A round lets every part sample its seating by Gibbs (the tables of all customers of all dishes of a level
+at once), levels 5 to 2, given the predictive probabilities of the two levels above. Those (at most 65 restaurants)
+are sampled on the driver from the parts' table counts, between rounds. After the burn-in each round's predictive
+probabilities are a sample; scores use their mean. A text's perplexity is per symbol.
+
+Of a seating only the number of tables of each type (context, dish) is kept: predictions depend on no more. With c
+customers, discount d and base probability p it has the weights S(c, t) (d x p)^t, where S are generalised Stirling
+numbers and x ~ Gamma(strength / d + tables of the restaurant) makes the dishes independent. So a draw takes in every
+customer whatever the count. S is exact up to EXACT customers; above, ratios S(c, t + 1) / S(c, t) are a saddle point's.
 """
 
 from __future__ import annotations
 
 import pickle
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -108,86 +114,132 @@ def _packed(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 # --- seating -----------------------------------------------------------------------------------
+EXACT, _DIRECT, _GRID, _ROWS = 256, 32, 64, 1 << 14
+
+
+@cache
+def _stirling(d: float) -> np.ndarray:
+    """log S(n, t) for n, t <= EXACT; a column more, and -inf where t is 0 or over n."""
+    out = np.full((EXACT + 1, EXACT + 2), -np.inf)
+    out[1, 1] = 0
+    t = np.arange(1, EXACT + 1)
+    for n in range(1, EXACT):
+        out[n + 1, 1:-1] = np.logaddexp(out[n, :-2], out[n, 1:-1] + np.log(np.maximum(n - d * t, 1e-9)))
+    return out
+
+
+@cache
+def _saddle(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """log(n / t), rising, and log(1 - u^d), where u solves the saddle point of t tables for n customers."""
+    u = np.concatenate([1 - np.logspace(-6, -0.31, 400), np.logspace(-0.3, -60, 1600)])
+    full = -np.expm1(d * np.log(u))
+    return np.log(d * (1 - u) * u ** (d - 1) / full), np.log(full)
+
+
+def _log_ratio(n: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(n, t + 1) / S(n, t) for 1 <= t; -inf from t = n on."""
+    out = np.full(n.shape, -np.inf)
+    ok = t < n
+    low, high = ok & (n <= EXACT), ok & (n > EXACT)
+    table = _stirling(d)
+    out[low] = table[n[low], t[low] + 1] - table[n[low], t[low]]
+    out[high] = np.interp(np.log(n[high] / t[high]), *_saddle(d)) - np.log(d * t[high])
+    return out
+
+
+def _choose(logs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A column of each row, with chances exp(logs)."""
+    cum = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), axis=1)
+    return np.minimum((cum <= rng.random((len(cum), 1)) * cum[:, -1:]).sum(1), logs.shape[1] - 1)
+
+
+def draw_tables(c: np.ndarray, q: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Number of tables of each type of c customers, with chances as S(c, t) q^t."""
+    t = np.minimum(c, 1)
+    lq = np.log(np.maximum(q, 1e-300))
+    lo = 1
+    for width in (2, 4, 8, 16, _DIRECT):
+        at = np.flatnonzero((c > lo) & (c <= width))
+        for a in range(0, len(at), _ROWS):
+            i = at[a : a + _ROWS]
+            t[i] = 1 + _choose(_stirling(d)[c[i], 1 : width + 1] + lq[i, None] * np.arange(width), rng)
+        lo = width
+    at = np.flatnonzero(c > _DIRECT)
+    for a in range(0, len(at), _ROWS):
+        i = at[a : a + _ROWS]
+        t[i] = _draw_many(c[i], lq[i], d, rng)
+    return t
+
+
+def _draw_many(c: np.ndarray, lq: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """draw_tables on a grid of at least 8 standard deviations to both sides of the mode (chances are log-concave)."""
+    mode, hi = np.ones_like(c), c.copy()
+    while (mode < hi).any():
+        mid = (mode + hi) // 2
+        rises = (mid < hi) & (lq + _log_ratio(c, mid, d) > 0)
+        mode, hi = np.where(rises, mid + 1, mode), np.where(rises, hi, mid)
+    h = np.maximum(1, np.sqrt(mode).astype(np.int64) // 2)
+    left, right = np.maximum(mode - h, 1), np.minimum(mode + h, c - 1)
+    left = np.minimum(left, right - 1)
+    bend = (_log_ratio(c, left, d) - _log_ratio(c, right, d)) / (right - left)
+    step = np.maximum(1, np.ceil(1 / np.sqrt(np.maximum(bend, 1e-18)) / 4)).astype(np.int64)
+    grid = mode[:, None] + (np.arange(_GRID) - _GRID // 2) * step[:, None]
+    inside = (grid >= 1) & (grid <= c[:, None])
+    rise = step[:, None] * (lq[:, None] + _log_ratio(np.broadcast_to(c[:, None], grid.shape), np.clip(grid + (step[:, None] - 1) // 2, 1, c[:, None] - 1), d))
+    logs = np.cumsum(rise, axis=1) - rise
+    got = grid[np.arange(len(c)), _choose(np.where(inside, logs, -np.inf), rng)]
+    return np.clip(got - step // 2 + (rng.random(len(c)) * step).astype(np.int64), 1, c)
+
+
 class Level:
-    """Restaurants of one context length. Types are (context, dish), sorted by code; tables are kept by type."""
+    """Restaurants of one context length. Types are (context, dish), sorted by code; c customers sit at t tables."""
 
     def __init__(self, code: np.ndarray, discount: float, strength: float):
         self.code, self.d, self.theta = code, discount, strength
         context = code >> U64(6)
         new = np.diff(context, prepend=context[:1] ^ U64(1)) != 0
         self.context, self.rest = context[new], np.cumsum(new) - 1
-        self.c = np.zeros(len(code), np.int64)
-        self.owner, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.c = self.t = np.zeros(len(code), np.int64)
         self._count()
 
     def _count(self) -> None:
-        self.t = np.bincount(self.owner, minlength=len(self.code))
         self.tables = np.bincount(self.rest, self.t, minlength=len(self.context))
 
-    def _pick(self, types: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """A table of each type, with chances as weight."""
-        cum = np.concatenate([[0.0], np.cumsum(weight)])
-        end = np.cumsum(self.t)[types]
-        lo, hi = cum[end - self.t[types]], cum[end]
-        k = np.searchsorted(cum, lo + rng.random(len(types)) * (hi - lo), side="right") - 1
-        return np.clip(k, end - self.t[types], end - 1)
-
-    def add(self, types: np.ndarray, base: np.ndarray, rng: np.random.Generator) -> None:
-        """Seat one customer of each of the (distinct) types; base: probability of each type's dish in the parent."""
-        old = self.c[types] - self.d * self.t[types]
-        new = (self.theta + self.d * self.tables[self.rest[types]]) * base[types]
-        opens = (self.t[types] == 0) | (rng.random(len(types)) * (old + new) < new)
-        join = types[~opens]
-        if len(join):
-            self.size[self._pick(join, self.size - self.d, rng)] += 1
-        start = np.sort(types[opens])
-        if len(start):
-            at = np.cumsum(self.t)[start]
-            self.owner, self.size = np.insert(self.owner, at, start), np.insert(self.size, at, 1)
-            self._count()
-        self.c[types] += 1
-
-    def remove(self, types: np.ndarray, rng: np.random.Generator) -> None:
-        """Take one random customer of each of the (distinct) types away."""
-        self.size[self._pick(types, self.size.astype(float), rng)] -= 1
-        self.c[types] -= 1
-        if not self.size.all():
-            keep = self.size > 0
-            self.owner, self.size = self.owner[keep], self.size[keep]
-            self._count()
-
-    def fill(self, counts: np.ndarray, base: np.ndarray, rng: np.random.Generator, steps: int = 24) -> None:
-        """Seat counts of each type: the first `steps` one by one, the rest in proportion at the tables there are."""
-        for i in range(steps):
-            types = np.flatnonzero(counts > i)
-            if len(types):
-                self.add(types, base, rng)
-        more = counts - self.c
-        if more.any():
-            scale = (counts / np.maximum(self.c, 1))[self.owner]
-            grown = np.floor(self.size * scale).astype(np.int64)
-            short = counts - np.bincount(self.owner, grown, minlength=len(counts)).astype(np.int64)
-            has = np.flatnonzero(self.t > 0)
-            grown[(np.cumsum(self.t) - self.t)[has]] += short[has]
-            self.size, self.c = grown, counts.copy()
+    @property
+    def owner(self) -> np.ndarray:
+        """Type of every table."""
+        return np.repeat(np.arange(len(self.t)), self.t)
+
+    @property
+    def size(self) -> np.ndarray:
+        """Customers of every table in one seating of c at t tables: a type's first table has all but one of each other's."""
+        out = np.ones(int(self.t.sum()), np.int64)
+        has = np.flatnonzero(self.t > 0)
+        out[(np.cumsum(self.t) - self.t)[has]] += (self.c - self.t)[has]
+        return out
+
+    def _draw(self, base: np.ndarray, rng: np.random.Generator) -> None:
+        """Draw the tables of all types; base: probability of each type's dish in the parent."""
+        x = rng.gamma(self.theta / self.d + self.tables)
+        self.t = draw_tables(self.c, self.d * x[self.rest] * base, self.d, rng)
+        self._count()
+
+    def fill(self, counts: np.ndarray, base: np.ndarray, rng: np.random.Generator, draws: int = 4) -> None:
+        """Seat counts of each type: from about c^d tables each, `draws` times."""
+        self.c = counts.astype(np.int64)
+        self.t = np.ceil(self.c**self.d).astype(np.int64)
+        self._count()
+        for _ in range(draws):
+            self._draw(base, rng)
 
     def follow(self, counts: np.ndarray, base: np.ndarray, rng: np.random.Generator) -> None:
-        """Make the customers counts, one more or one fewer of each type at a time."""
-        while True:
-            more, fewer = np.flatnonzero(counts > self.c), np.flatnonzero(counts < self.c)
-            if not len(more) and not len(fewer):
-                return
-            if len(fewer):
-                self.remove(fewer, rng)
-            if len(more):
-                self.add(more, base, rng)
+        """Make the customers counts, and seat them."""
+        self.c = counts.astype(np.int64)
+        self._draw(base, rng)
 
     def sweep(self, base: np.ndarray, moves: int, rng: np.random.Generator) -> None:
         for _ in range(moves):
-            types = np.flatnonzero(self.c > 1)
-            if len(types):
-                self.remove(types, rng)
-                self.add(types, base, rng)
+            self._draw(base, rng)
 
     def backoff(self) -> np.ndarray:
         """What each restaurant leaves to its parent."""

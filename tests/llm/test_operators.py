@@ -325,6 +325,63 @@ def test_language_model_is_a_distribution_and_learns():
     assert np.allclose(m.probability(every).reshape(4, 64).sum(1), 1, atol=0.02)
 
 
+def _one_by_one(counts: list[int], base: float, d: float, theta: float, sweeps: int) -> float:
+    """Mean number of tables of a restaurant whose every customer is taken out and seated again in turn, by brute force."""
+    rng = random.Random(7)
+    seats: list[list[int]] = [[] for _ in counts]
+    where: list[list[int]] = [[] for _ in counts]  # table of each customer
+    tables, seen = 0, []
+    for sweep in range(sweeps):
+        for k, n in enumerate(counts):
+            for i in range(n):
+                if sweep:
+                    old = where[k][i]
+                    seats[k][old] -= 1
+                    tables -= not seats[k][old]
+                c, t = sum(seats[k]) if not sweep else n - 1, sum(x > 0 for x in seats[k])
+                new = (theta + d * tables) * base
+                if rng.random() * (c - d * t + new) < new or not c:
+                    at = next((j for j, x in enumerate(seats[k]) if not x), len(seats[k]))
+                    if at == len(seats[k]):
+                        seats[k].append(0)
+                    tables += 1
+                else:
+                    at = rng.choices(range(len(seats[k])), [x - d if x else 0 for x in seats[k]])[0]
+                seats[k][at] += 1
+                where[k] = where[k] + [at] if not sweep else where[k]
+                where[k][i] = at
+        if sweep >= sweeps // 3:
+            seen.append(tables)
+    return sum(seen) / len(seen)
+
+
+def test_tables_of_large_types_are_those_of_seating_one_by_one():
+    counts, base, d, theta = [2500, 400, 30, 5], 0.05, 0.8, 1.0
+    level = hpylm.Level(np.arange(4, dtype=np.uint64), d, theta)
+    rng, seen = np.random.default_rng(3), []
+    level.fill(np.array(counts), np.full(4, base), rng)
+    for _ in range(400):
+        level.sweep(np.full(4, base), 4, rng)
+        seen.append(level.tables[0])
+    want = _one_by_one(counts, base, d, theta, 30)
+    assert abs(np.mean(seen) - want) < 0.15 * want
+
+
+@pytest.mark.parametrize("d", [0.5, 0.8])
+def test_tables_grow_with_the_count(d):
+    n = 3000
+    s = np.array([0.0] + [-np.inf] * (n - 1))  # log S(m, t) for t = 1.., by its recursion
+    t = np.arange(1, n + 1)
+    for m in range(1, n):
+        s = np.logaddexp(np.concatenate([[-np.inf], s[:-1]]), s + np.log(np.maximum(m - d * t, 1e-9)))
+    for q in (2.0, 30.0, 500.0):
+        p = np.exp(s + t * np.log(q) - (s + t * np.log(q)).max())
+        p /= p.sum()
+        mean, sd = (p * t).sum(), np.sqrt((p * t * t).sum() - (p * t).sum() ** 2)
+        got = hpylm.draw_tables(np.full(20000, n), np.full(20000, q), d, np.random.default_rng(1))
+        assert abs(got.mean() - mean) < 0.1 * sd and abs(got.std() - sd) < 0.1 * sd
+
+
 def test_passes_agree(spark):
     d = docs(spark)
     model = hpylm.fit(d, burn_in=1, samples=1, moves=1)
