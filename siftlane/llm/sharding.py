@@ -4,9 +4,9 @@ Documents go to shards in groups (by GROUP_BY), so that bytes, tokens and rows a
 placed, largest first, on the shard where the dot product of its needs with the residual capacity is highest, of
 those where it fits; where it fits nowhere, on the one that it overfills least.
 
-A group over 1/SPLIT of a shard is cut by a hash of its documents; groups under 1/BUNDLE are bundled by a hash of
-their key, each staying whole. So the items to be placed number a few hundred a shard, however many groups there
-are. Beyond BLOCK shards the items are dealt to blocks of shards, largest first, and each block is packed alone.
+Every group that fits a shard stays whole and is placed by its own needs; one that exceeds a shard is cut by a hash of
+its documents into pieces of about 1/SPLIT of a shard. All shards are looked at for each item, at any size. The driver
+holds a record for each group or piece and one for each shard.
 """
 
 from __future__ import annotations
@@ -20,34 +20,28 @@ from siftlane.llm.mixing import token_count
 
 GROUP_BY = ("source", "lang")
 TARGET_BYTES = 32 << 20
-SPLIT, BUNDLE, BUNDLES = 8, 64, 32
-BLOCK = 1024
+SPLIT = 8
 
 
 def place(needs: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each item; needs: items x dimensions, in parts of a shard's capacity."""
     order = np.lexsort((np.arange(len(needs)), -needs.max(1, initial=0)))
-    blocks = -(-shards // BLOCK)
     out = np.zeros(len(needs), np.int64)
-    for b in range(blocks):
-        lo, hi = shards * b // blocks, shards * (b + 1) // blocks
-        turn = np.arange(len(order)) % (2 * blocks)
-        mine = order[np.minimum(turn, 2 * blocks - 1 - turn) == b]
-        residual = np.ones((hi - lo, needs.shape[1]))
-        for i in mine:
-            after = residual - needs[i]
-            least = after.min(1)
-            fits = least >= -1e-12
-            best = np.where(fits, residual @ needs[i], -np.inf).argmax() if fits.any() else least.argmax()
-            residual[best] = after[best]
-            out[i] = lo + best
+    residual = np.ones((shards, needs.shape[1]))
+    for i in order:
+        after = residual - needs[i]
+        least = after.min(1)
+        fits = least >= -1e-12
+        best = np.where(fits, residual @ needs[i], -np.inf).argmax() if fits.any() else least.argmax()
+        residual[best] = after[best]
+        out[i] = best
     return out
 
 
 def shard(docs: DataFrame, group_by: tuple[str, ...] = GROUP_BY, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """doc_id and shard (from 0) of every row of docs; as many shards as target_bytes of text asks for.
 
-    Groups that fit 1/SPLIT of a shard stay together. A null in a group column is a value like any other. Null and
+    Groups that fit a shard stay together. A null in a group column is a value like any other. Null and
     empty texts have no bytes and no tokens, but count as rows. Null doc_ids and repeated rows are placed like any
     other row; rows that repeat doc_id and text share a shard. Other columns are ignored. An empty table gives none.
     """
@@ -66,8 +60,7 @@ def shard(docs: DataFrame, group_by: tuple[str, ...] = GROUP_BY, target_bytes: i
     total = groups.agg(*(F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in dims)).first()
     shards = max(1, -(-total["bytes"] // target_bytes))
     share = F.greatest(*(F.col(d) * float(shards) / max(1, total[d]) for d in dims))
-    bundle = F.concat(F.lit("bundle "), F.pmod(F.xxhash64("key"), F.lit(BUNDLES * shards)))
-    groups = groups.select("key", F.when(share < 1 / BUNDLE, bundle).otherwise(F.col("key")).alias("item"), F.greatest(F.lit(1), F.ceil(share * SPLIT)).alias("parts"))
+    groups = groups.select("key", F.col("key").alias("item"), F.when(share > 1 + 1e-9, F.ceil(share * SPLIT)).otherwise(F.lit(1).cast("long")).alias("parts"))
     rows = rows.join(groups, "key").withColumn("part", F.pmod("h", "parts"))
     items = materialize(rows.groupBy("item", "part").agg(*sums), "items")
     listed = items.orderBy("item", "part").toPandas()

@@ -428,6 +428,31 @@ def test_place_against_brute_force():
     assert sharding.place(needs, shards).tolist() == want
 
 
+def test_place_looks_at_all_of_many_shards():
+    shards = 1100
+    needs = np.random.default_rng(5).random((1500, 3)) * 0.9
+    residual, want = np.ones((shards, 3)), np.zeros(len(needs), int)
+    for i in sorted(range(len(needs)), key=lambda i: (-needs[i].max(), i)):
+        fit = (residual - needs[i] >= -1e-12).all(1)
+        best = np.argmax(np.where(fit, residual @ needs[i], -1)) if fit.any() else np.argmax((residual - needs[i]).min(1))
+        residual[best] -= needs[i]
+        want[i] = best
+    assert sharding.place(needs, shards).tolist() == want.tolist()
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    sizes = {"a": 90, "b": 60, "c": 45, "d": 30, **{f"s{i}": 1 for i in range(75)}}  # documents of 100 bytes, 3 shards of 100
+    data = [(f"{k}", i) for k, n in sizes.items() for i in range(n)]
+    d = spark.createDataFrame([(i, "x" * 100, k, "en") for i, (k, _) in enumerate(data)], "doc_id long, text string, source string, lang string")
+    at = defaultdict(set)
+    filled = Counter()
+    for r in sharding.shard(d, target_bytes=10_000).collect():
+        at[data[r["doc_id"]][0]].add(r["shard"])
+        filled[r["shard"]] += 1
+    assert all(len(x) == 1 for x in at.values())
+    assert sorted(filled.values()) == [100, 100, 100]
+
+
 def test_shards_are_balanced(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     placed = sharding.shard(d, target_bytes=200_000)
