@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside an Arrow batch, in bytes. A single longer text is one chunk.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -37,13 +37,23 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it again: cuts lineage, survives lost executors, has statistics."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df once to the shared folder and read it again: cuts lineage, survives lost executors, has statistics.
+    by: a column whose values are folders. The table goes when the process ends, or by release()."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/siftlane-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siftlane_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of materialize() that no later result reads."""
+    for t in tables:
+        _remove(t.sparkSession, t._siftlane_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -54,6 +64,32 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return len(raw).to_bytes(8, "little") + (_ZSTD.compress(raw, asbytes=True) if raw else b"")
+
+
+def expand(blob: bytes, kind) -> np.ndarray:
+    n, kind = int.from_bytes(blob[:8], "little"), np.dtype(kind)
+    if not n:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(_ZSTD.decompress(blob[8:], n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+
+
+def squeeze_rising(x: np.ndarray) -> bytes:
+    """squeeze() of rising 64-bit numbers, by their differences."""
+    return squeeze(np.diff(x, prepend=U64(0)))
+
+
+def expand_rising(blob: bytes) -> np.ndarray:
+    return np.cumsum(expand(blob, U64), dtype=U64)
+
+
 def text_key(text: str = "text") -> Column:
     """Content half of a row's identity; with doc_id it names a row, and equal pairs are repeated rows."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("\x00null")))
@@ -94,24 +130,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def chunks(texts: pa.Array, lower: bool = True, limit: int = CHUNK_BYTES):
-    """Yields (first row, bytes, offsets) over rows of a string array; null counts as empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.utf8_lower(texts)
+    """Yields (first row, bytes, offsets) over rows of a string array; null counts as empty. Only a chunk at a time is copied."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     n = len(texts)
     if not n:
         return
-    offs = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
-    raw = texts.buffers()[2]
-    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-    a = 0
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a, done = 0, 0
     while a < n:
-        b = int(np.searchsorted(offs, offs[a] + limit, side="right")) - 1
-        b = min(n, max(b, a + 1))
-        yield a, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-        a = b
+        b = min(n, max(int(np.searchsorted(ends, done + limit, side="right")), a + 1))
+        part = pc.fill_null(texts.slice(a, b - a).cast(pa.large_string()), "")
+        if lower:
+            part = pc.utf8_lower(part)
+        offs = np.frombuffer(part.buffers()[1], dtype=np.int64)[part.offset : part.offset + b - a + 1]
+        raw = part.buffers()[2]
+        data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+        yield a, data[offs[0] : offs[-1]], offs - offs[0]
+        a, done = b, int(ends[b - 1])
 
 
 _SPACE = np.zeros(256, bool)
@@ -137,8 +173,12 @@ def tokens(data: np.ndarray, offs: np.ndarray, words: bool = False) -> tuple[np.
     first = np.zeros(len(data), np.int32)
     first[starts] = np.diff(starts, prepend=0)
     pos = np.arange(len(data), dtype=np.int32) - np.cumsum(first, dtype=np.int32)
-    pos &= (1 << 16) - 1
-    value = (data.astype(U64) + U64(1)) * _POW[pos]
+    value = data.astype(U64)
+    value += U64(1)
+    if int(pos.max()) < len(_POW):
+        value *= _POW[pos]
+    else:  # every further 64 KiB of a token have a factor of their own
+        value *= _POW[pos & (len(_POW) - 1)] * (mix((pos >> 16).astype(U64)) | U64(1))
     value[~inside] = 0
     return starts, mix(np.add.reduceat(value, starts))
 
@@ -171,25 +211,29 @@ def runs(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def bitmap(hashes: DataFrame, column: str, bits: int = 24) -> np.ndarray:
-    """Fixed 2**bits bits (2 MB), those of the hashes set: a prefilter that grows with nothing; before an exact join."""
+def bitmap(hashes: DataFrame, column: str, keys: int | None = None) -> np.ndarray:
+    """Bits set for the hashes: a prefilter before an exact join. Eight bits a key, from 2**20 to 2**28 (32 MB) in all;
+    beyond 2**28 it lets more and more rows through to the join, which alone decides. keys: their number, if known."""
+    if keys is None:
+        keys = hashes.count()
+    bits = min(28, max(20, int(keys).bit_length() + 3))
     at = F.shiftrightunsigned(F.col(column), 64 - bits)
-    rows = hashes.groupBy(F.shiftrightunsigned(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")).alias("v")).toPandas()
+    rows = hashes.groupBy(F.shiftrightunsigned(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")).alias("v")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("v").to_numpy()
     return out.view(U64)
 
 
-def hits(filter_: np.ndarray, hashes: np.ndarray, bits: int = 24) -> np.ndarray:
-    at = hashes.astype(U64, copy=False) >> U64(64 - bits)
+def hits(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.astype(U64, copy=False) >> U64(64 - (len(filter_).bit_length() + 5))
     return (filter_[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & U64(1)).astype(bool)
 
 
-def may_hold(filter_: np.ndarray, bits: int = 24):
+def may_hold(filter_: np.ndarray):
     """A UDF over a long column: may the bitmap hold it? The exact join comes after it."""
 
     @F.pandas_udf("boolean")
     def run(hashes: pd.Series) -> pd.Series:
-        return pd.Series(hits(filter_, hashes.to_numpy(np.int64).view(U64), bits))
+        return pd.Series(hits(filter_, hashes.to_numpy(np.int64).view(U64)))
 
     return run
