@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siftlane.llm import langid, lines, mixing, packing, simhash
 from siftlane.llm.common import scratch_dir
@@ -24,10 +23,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later of any two similar lines; n_chars follows. A document that loses all its lines goes."""
-    clean = lines.drop_similar_lines(docs)
-    clean = clean.where(F.col("text").isNull() | (F.col("n_chars") == F.length("text")) | F.col("text").rlike("[^ \\t\\n\\r\\f\\x0b]"))
-    return clean.withColumn("n_chars", F.length("text").cast("long"))
+    """Texts without the later of any two similar lines. A document that lost a line and has only white space left goes.
+
+    n_chars follows where a text changes; all other rows stay as they are, null, empty and blank texts among them.
+    """
+    return lines.drop_similar_lines(docs, keep_emptied=False, length="n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
