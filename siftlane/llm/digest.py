@@ -60,21 +60,24 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     and keep (true for one document of each group: the smallest doc_id, null last; any of rows that repeat wholly).
 
     A null text has no fingerprint and is a group of its own; empty and blank texts are equal to each other. A null
-    doc_id stays null, its text is grouped as any other. Other columns are ignored. An empty table gives none.
+    doc_id stays null, its text is grouped as any other. Very long texts are whole. Other columns are ignored. An empty
+    table gives none.
+
+    Groups are aggregates that are joined back, so that neither nulls nor a group of millions meet in one task.
     """
     keyed = with_key(docs)
-    same = Window.partitionBy("hi", "lo")
-    rows = materialize(keyed.mapInArrow(_digest(None), _SCHEMA).withColumn("n", F.when(F.col("hi").isNull(), F.lit(1)).otherwise(F.count("*").over(same))), "digests")
-    dups = rows.where("n > 1").select("hi", "lo").distinct()
+    rows = materialize(keyed.mapInArrow(_digest(None), _SCHEMA).withColumn("rid", F.monotonically_increasing_id()), "digests")
+    dups = materialize(rows.where("hi is not null").groupBy("hi", "lo").count().where("count > 1").select("hi", "lo"), "dups")
     forms = keyed.mapInArrow(_digest(bitmap(dups, "hi")), _SCHEMA + ", form binary").join(dups, ["hi", "lo"], "left_semi")
-    equal = Window.partitionBy("hi", "lo", "form")
+    size, least = F.count("*").alias("group_size"), F.min("doc_id").alias("group_id")
+    equal = materialize(forms.groupBy("hi", "lo", "form").agg(size, least).withColumn("forms", F.count("*").over(Window.partitionBy("hi", "lo"))), "forms")
     hexed = F.lower(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0"))).alias("fingerprint")
-    many = forms.select(
-        "doc_id",
-        hexed,
-        F.min("doc_id").over(equal).alias("group_id"),
-        F.count("*").over(equal).alias("group_size"),
-        (F.row_number().over(equal.orderBy("k_id", "k_text")) == 1).alias("keep"),
-    )
-    alone = rows.where("n = 1").select("doc_id", hexed, F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
-    return alone.unionByName(many)
+    # a digest with one form, as all have, makes a group by itself
+    one = equal.where("forms = 1").select("hi", "lo", "group_size", "group_id")
+    first = rows.join(one, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.min(F.struct("k_id", "k_text", "rid"))["rid"].alias("lead"))
+    many = rows.join(one.join(first, ["hi", "lo"]), ["hi", "lo"]).select("doc_id", hexed, "group_id", "group_size", (F.col("rid") == F.col("lead")).alias("keep"))
+    # different texts with one digest are told apart by their bytes
+    nth = F.row_number().over(Window.partitionBy("hi", "lo", "form").orderBy("k_id", "k_text"))
+    clash = forms.join(equal.where("forms > 1").drop("forms"), ["hi", "lo", "form"]).select("doc_id", hexed, "group_id", "group_size", (nth == 1).alias("keep"))
+    alone = rows.join(dups, ["hi", "lo"], "left_anti").select("doc_id", hexed, F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("keep"))
+    return alone.unionByName(many).unionByName(clash)
