@@ -1,17 +1,15 @@
 """Operator 5, SimHash near-duplicates by anchor-point covering.
 
-Two SimHashes a text, both over its distinct lower-case words: `cover` (120 bits, a word of tf n
-weighs n**0.85) finds candidates and `confirm` (128 bits, n**0.5) rejects chance neighbours, which
-the flatter weights keep far apart. A pair is a near copy when it differs in at most COVER_K bits of
-the first and CONFIRM_K of the second.
-
-Covering: cover falls into 4 blocks of 30 bits, each a word of the product of the perfect binary
-Golay code [23,12] (radius 3) and the perfect Hamming code [7,4] (radius 1); its codewords are the
-anchors, 65,536 a block. Of two texts within 11 bits one block differs in at most 2, and some point
-z of that block lies within 1 of both. The anchor covering z is within (covering radius + 1) of both,
-so that every fingerprint is replicated to the anchors within covering radius plus that share of the
-threshold (about 8 a block, where the radius is spent by factor code), and each pair within the
-threshold meets at an anchor. Comparison is per anchor; the search is exact for the threshold.
+Two SimHashes a text, both over its distinct lower-case words: `cover` (120 bits, a word of tf n weighs n**0.85) and
+`confirm` (128 bits, n**0.5), whose flatter weights keep chance neighbours far apart. BLOCKS are six blocks of 30 bits,
+four of cover and two of confirm. A pair is a near copy when it differs in at most BLOCK_K bits of some block, in at
+most COVER_K of cover and in at most CONFIRM_K of confirm.
+
+Covering: each block is a word of the product of the perfect binary Golay code [23,12] (radius 3) and the perfect
+Hamming code [7,4] (radius 1); its codewords are the anchors, 65,536 a block. Of two blocks within 2 bits some point z
+lies within 1 of both. The anchor covering z is within (covering radius + 1) of both, so that every fingerprint is
+replicated to the anchors within covering radius plus half the block's threshold (about 8 a block, where the radius is
+spent by factor code), and each near copy meets at an anchor. Comparison is per anchor; the search is exact.
 """
 
 from __future__ import annotations
@@ -24,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlane.llm.common import U64, chunks, materialize, mix, partitions, tokens, with_key, with_row
+from siftlane.llm.common import U64, bitmap, chunks, materialize, may_hold, mix, partitions, tokens, with_key, with_row
 
-BLOCKS, BLOCK_BITS = 4, 30
-COVER_K, CONFIRM_K = 11, 20
+BLOCKS, BLOCK_BITS = (0, 30, 60, 90, 128, 158), 30  # where each block begins
+BLOCK_K, COVER_K, CONFIRM_K = 2, 19, 24
+PART_BYTES = 32 << 20  # of replicated fingerprints in a partition
 _FEATURES = 1 << 15
 
 
-# --- codes -------------------------------------------------------------------------------------
+# codes
 def _syndromes(n: int, gen: int, deg: int) -> np.ndarray:
     """Remainder of x**i modulo the generator polynomial, for every bit i of an n-bit word."""
     out, r = [], 1
@@ -99,7 +98,7 @@ def anchors(block: np.ndarray, extra: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return r1[left], a1[left] | (a2[right] << 23)
 
 
-# --- fingerprints ------------------------------------------------------------------------------
+# fingerprints
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=U64)
 
 
@@ -147,25 +146,35 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_key(docs).mapInArrow(_sketch, "doc_id long, k_id long, k_text long, f0 long, f1 long, f2 long, f3 long")
 
 
-# --- search ------------------------------------------------------------------------------------
+# search
 _ROW = np.dtype([("key", "<u4"), ("f0", "<u8"), ("f1", "<u8"), ("f2", "<u8"), ("f3", "<u8")])
 
 
+def _block(f: np.ndarray, b: int) -> np.ndarray:
+    """Block b of fingerprints (rows x 4 words)."""
+    w, at = divmod(BLOCKS[b], 64)
+    word = f[:, w] >> U64(at)
+    if at > 64 - BLOCK_BITS:
+        word = word | f[:, w + 1] << U64(64 - at)
+    return (word & U64(2**BLOCK_BITS - 1)).astype(np.int64)
+
+
+def _number(anchor: np.ndarray) -> np.ndarray:
+    """A codeword's 16 message bits: 12 of the Golay code, 4 of the Hamming code."""
+    return (anchor & (2**23 - 1)) >> 11 | anchor >> 26 << 12
+
+
 def _scatter(parts: int):
     def run(batches):
         for batch in batches:
             f = np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(U64) for i in range(4)], axis=1)
-            for a in range(0, len(f), 8192):
-                g = f[a : a + 8192]
+            for a in range(0, len(f), 4096):
+                g = f[a : a + 4096]
                 out = []
-                for b in range(BLOCKS):
-                    at = b * BLOCK_BITS
-                    word = g[:, at // 64] >> U64(at % 64)
-                    if at % 64 > 64 - BLOCK_BITS:
-                        word = word | (g[:, at // 64 + 1] << U64(64 - at % 64))
-                    row, anchor = anchors((word & U64(2**BLOCK_BITS - 1)).astype(np.int64))
+                for b in range(len(BLOCKS)):
+                    row, anchor = anchors(_block(g, b))
                     rec = np.empty(len(row), _ROW)
-                    rec["key"] = anchor | b << BLOCK_BITS
+                    rec["key"] = _number(anchor) | b << 16
                     for i in range(4):
                         rec[f"f{i}"] = g[row, i]
                     out.append(rec)
@@ -183,7 +192,7 @@ def _scatter(parts: int):
 _EDGES = pa.schema([(f"{s}{i}", pa.int64()) for s in "ab" for i in range(4)])
 
 
-def _compare(cover_k: int, confirm_k: int, tile: int = 2048):
+def _compare(block_k: int, cover_k: int, confirm_k: int, tile: int = 1024):
     def run(table: pa.Table) -> pa.Table:
         rec = np.concatenate([np.frombuffer(x, _ROW) for x in table.column("rows").to_pylist()])
         rec = rec[np.argsort(rec["key"], kind="stable")]
@@ -193,17 +202,18 @@ def _compare(cover_k: int, confirm_k: int, tile: int = 2048):
         for a, b in zip(cut, [*cut[1:], len(rec)], strict=True):
             if b - a < 2:
                 continue
-            for i in range(a, b, tile):
-                x = f[i : min(i + tile, b)]
-                for j in range(i, b, tile):
-                    y = f[j : min(j + tile, b)]
-                    d = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
-                    p, q = np.nonzero(d <= cover_k)
+            word = _block(f[a:b], int(rec["key"][a]) >> 16).astype(np.uint32)
+            for i in range(0, b - a, tile):
+                for j in range(i, b - a, tile):
+                    p, q = np.nonzero(np.bitwise_count(word[i : i + tile, None] ^ word[None, j : j + tile]) <= block_k)
                     if i == j:
                         p, q = p[p < q], q[p < q]
-                    ok = np.bitwise_count(x[p, 2] ^ y[q, 2]) + np.bitwise_count(x[p, 3] ^ y[q, 3]) <= confirm_k
-                    left.append(x[p[ok]])
-                    right.append(y[q[ok]])
+                    for k in range(0, len(p), 1 << 18):
+                        x, y = f[a + i + p[k : k + (1 << 18)]], f[a + j + q[k : k + (1 << 18)]]
+                        d = np.bitwise_count(x ^ y)
+                        ok = (d[:, 0] + d[:, 1] <= cover_k) & (d[:, 2] + d[:, 3] <= confirm_k)
+                        left.append(x[ok])
+                        right.append(y[ok])
         pairs = np.zeros((0, 8), U64)
         if left:
             pairs = np.unique(np.concatenate([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
@@ -212,17 +222,18 @@ def _compare(cover_k: int, confirm_k: int, tile: int = 2048):
     return run
 
 
-def near_pairs(prints: DataFrame, cover_k: int = COVER_K, confirm_k: int = CONFIRM_K) -> DataFrame:
-    """Pairs of distinct fingerprints within both thresholds, from a frame of distinct f0..f3 without nulls."""
-    if cover_k // BLOCKS > 2:
-        raise ValueError(f"anchors cover at most {3 * BLOCKS - 1} bits")
-    parts = partitions(prints.sparkSession)
+def near_pairs(prints: DataFrame, block_k: int = BLOCK_K, cover_k: int = COVER_K, confirm_k: int = CONFIRM_K) -> DataFrame:
+    """Pairs of distinct fingerprints within all thresholds, from a frame of distinct f0..f3 without nulls; a pair may come
+    more than once. Partitions follow the number of fingerprints."""
+    if block_k > 2:
+        raise ValueError("anchors within covering radius + 1 cover 2 bits of a block")
+    parts = max(partitions(prints.sparkSession), -(-prints.count() * len(BLOCKS) * 8 * _ROW.itemsize // PART_BYTES))
     schema = ", ".join(f"{s}{i} long" for s in "ab" for i in range(4))
     return (
         prints.select("f0", "f1", "f2", "f3")
         .mapInArrow(_scatter(parts), "part int, rows binary")
         .groupBy("part")
-        .applyInArrow(_compare(cover_k, confirm_k), schema)
+        .applyInArrow(_compare(block_k, cover_k, confirm_k), schema)
     )
 
 
@@ -247,22 +258,23 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(docs: DataFrame, cover_k: int = COVER_K, confirm_k: int = CONFIRM_K) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, group_id (smallest doc_id of its group), group_size and keep.
 
     A group is a connected component of near copies; exactly one row of it has keep = true, the one with
-    the smallest doc_id (null comes last), any of them where whole rows repeat. A text that is null or has
-    no words is a group of its own and is kept; group_id is its doc_id. A null doc_id stays null and its
-    row is grouped by its text as any other. Other columns of docs are ignored. An empty table gives none.
+    the smallest doc_id (null comes last), of equal ones the one with the least hash of its text, any of them where whole
+    rows repeat. A text that is null, empty or has no words is a group of its own and is kept; group_id is its doc_id.
+    A null doc_id stays null and its row is grouped by its text as any other. Texts are whole, however long. Other columns
+    of docs are ignored. An empty table gives none.
     """
-    return _decide(docs, cover_k, confirm_k).select("doc_id", "group_id", "group_size", "keep")
+    return _decide(docs).select("doc_id", "group_id", "group_size", "keep")
 
 
-def _decide(docs: DataFrame, cover_k: int, confirm_k: int) -> DataFrame:
+def _decide(docs: DataFrame) -> DataFrame:
     fp = materialize(fingerprints(docs), "prints")
     node = F.xxhash64("f0", "f1", "f2", "f3")
-    prints = fp.where("f0 is not null").select("f0", "f1", "f2", "f3").distinct()
-    pairs = near_pairs(prints, cover_k, confirm_k).select(
+    prints = materialize(fp.where("f0 is not null").select("f0", "f1", "f2", "f3").distinct(), "distinct")
+    pairs = near_pairs(prints).select(
         F.xxhash64("a0", "a1", "a2", "a3").alias("a"), F.xxhash64("b0", "b1", "b2", "b3").alias("b")
     )
     roots = components(prints, pairs)
@@ -288,17 +300,19 @@ def _decide(docs: DataFrame, cover_k: int, confirm_k: int) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame, cover_k: int = COVER_K, confirm_k: int = CONFIRM_K) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each group of near copies; its columns and types stay.
 
-    Repeated rows of one document (same doc_id and text) are copies of each other, of which one stays.
+    Repeated rows of one document (same doc_id and text) are copies of each other, of which one stays. Which row of a group
+    stays, and what becomes of nulls and of texts without words, is as near_duplicates() says. An empty table gives none.
     """
-    d = materialize(_decide(docs, cover_k, confirm_k), "groups")
+    d = materialize(_decide(docs), "groups")
     key = ["k_id", "k_text"]
     stays = d.groupBy(*key).agg(F.max("keep").alias("keep"), F.sum(F.col("keep").cast("int")).alias("kept"), F.count("*").alias("n"))
-    gone = stays.where("not keep").select(*key)
-    repeated = stays.where("keep and n > kept").select(*key)
-    keyed = with_row(docs)
-    plain = keyed.join(gone.unionByName(repeated), key, "left_anti")
-    once = keyed.join(repeated, key, "left_semi").dropDuplicates(key)
-    return plain.unionByName(once).select("row.*")
+    odd = materialize(stays.where("not keep or n > kept").select(*key, "keep"), "odd")
+    # only rows that may go are shuffled: a bitmap lets the others past the joins
+    touched = may_hold(bitmap(odd.select("k_text").distinct(), "k_text"))
+    keyed = with_row(docs).withColumn("touched", touched(F.col("k_text")))
+    met = keyed.where("touched").join(odd, key, "left")
+    once = met.where("keep").dropDuplicates(key)
+    return keyed.where("not touched").select("row").unionByName(met.where("keep is null").select("row")).unionByName(once.select("row")).select("row.*")
