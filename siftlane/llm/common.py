@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside an Arrow batch, in bytes. A single longer text is one chunk.
 CHUNK_BYTES = 1 << 19
+ARROW_ROWS = 1000
 U64 = np.uint64
 
 
@@ -31,6 +32,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_ROWS rows where the session has Spark's default of 10,000, which are 30 MB and more of text, once
+    in the JVM and once in Python for each task."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def _remove_local(path: str) -> None:
     import shutil
 
@@ -41,6 +49,7 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it again: cuts lineage, survives lost executors, has statistics.
     by: a column whose values are folders. The table goes when the process ends, or by release()."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark)}/siftlane-{name}-{uuid.uuid4().hex[:12]}"
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
@@ -97,6 +106,7 @@ def text_key(text: str = "text") -> Column:
 
 def with_key(docs: DataFrame) -> DataFrame:
     """doc_id, text and the row key (k_id: doc_id, or the largest long for null; k_text); the names can't clash with columns of docs."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text"),
@@ -107,6 +117,7 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 def with_row(docs: DataFrame) -> DataFrame:
     """The row key beside the whole row as a struct `row`, so that no column of docs can clash with it."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("k_id"),
         text_key().alias("k_text"),
