@@ -58,9 +58,14 @@ def test_vectors(spark):
     v = [[1.0, -1.0, 0.5, 0.0], [1.0, 1.0, 1.0, 1.0], [-1.0, -1.0, -1.0, -1.0], [float("nan")] * 4]
     data = [(i, x, "a", "b") for i, x in enumerate(v)] + [(1, v[1], "a", "b"), (None, v[0], "a", "b"), (9, None, "a", "b"), (10, [1.0], "a", "b"), (11, [None, 1.0, 1.0, 1.0], "a", "b")]
     d = spark.createDataFrame(data, "vec_id long, embedding array<float>, words string, block string")
-    got = topk.nearest(d, k=10).collect()
-    assert {(r["vec_id"], r["neighbor_id"]) for r in got} == {(a, b) for a in range(4) for b in range(4) if a != b}
+    got = topk.nearest(d, k=10, every=1).collect()
+    signs = [[0 if x != x else int(x > 0) for x in r] for r in v]
+    assert {(r["vec_id"], r["neighbor_id"], r["distance"]) for r in got} == {(a, b, sum(x != y for x, y in zip(signs[a], signs[b], strict=True))) for a in range(4) for b in range(4) if a != b}
+    assert {r["vec_id"] for r in topk.nearest(d, k=10).collect()} == {0}
     assert topk.nearest(d.limit(0)).collect() == []
+    # the most frequent length counts, of equally frequent ones the longest
+    mixed = spark.createDataFrame([(i, [1.0] * (3 if i < 4 else 2)) for i in range(8)] + [(8, [1.0] * 9)], "vec_id long, embedding array<float>")
+    assert {r["vec_id"] for r in topk.nearest(mixed, every=1).collect()} == {0, 1, 2, 3}
 
 
 def test_conversations(spark):

@@ -13,7 +13,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from siftlane.llm import chat, digest, hpylm, langid, lines, mixing, packing, sharding, simhash, topk
 from siftlane.llm.common import chunks, tokens
 from tests.llm.fixtures import _EN, _FR, docs, rows, sentence
@@ -21,7 +20,7 @@ from tests.llm.fixtures import _EN, _FR, docs, rows, sentence
 SF = "/root/testdata/sf0.001"
 
 
-# --- tokens ------------------------------------------------------------------------------------
+# tokens
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab é\n\t.", max_size=30), max_size=6))
 def test_tokens_are_those_of_split(texts):
@@ -38,7 +37,7 @@ def test_tokens_are_those_of_split(texts):
     assert len(set(seen.values())) == len(seen)
 
 
-# --- 1 -----------------------------------------------------------------------------------------
+# 1
 def test_language_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     train, held = d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")
@@ -59,7 +58,7 @@ def test_language_rejects_what_is_none():
         assert (m.languages[own[0]] if ok[0] else None) == want
 
 
-# --- 2 -----------------------------------------------------------------------------------------
+# 2
 def test_mixing_against_brute_force(spark):
     from hashlib import md5
 
@@ -93,9 +92,9 @@ def test_mixed_repeats_rows(spark):
     assert out == Counter({i: c * count[i] for (i, _), c in plan.items() if i is not None})
 
 
-# --- 3 -----------------------------------------------------------------------------------------
-@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
-def test_lines_against_brute_force(spark, threshold):
+# 3
+@pytest.mark.parametrize(("threshold", "how"), [(0.5, {}), (0.8, {}), (1.0, {}), (0.5, {"keep": 1, "window": 1}), (0.8, {"keep": 1, "window": 2})])
+def test_lines_against_brute_force(spark, threshold, how):
     rng = random.Random(5)
     base = [[rng.choice(_EN) + str(rng.randint(0, 30)) for _ in range(rng.randint(1, 25))] for _ in range(25)]
     data = []
@@ -114,7 +113,7 @@ def test_lines_against_brute_force(spark, threshold):
     for j, b in enumerate(all_lines):
         if any(len(a[3] & b[3]) >= threshold * len(a[3] | b[3]) - 1e-12 for a in all_lines[:j]):
             want.add(b[:3])
-    got = lines.removed_lines(d, threshold).collect()
+    got = lines.removed_lines(d, threshold, **how).collect()
     assert {(r["k_id"], r["k_text"], r["line"]) for r in got} == want
     by = {x[:3]: x[3] for x in all_lines}
     for r in got:
@@ -128,7 +127,23 @@ def test_lines_are_cut_out(spark):
     assert got == {1: ("same old line of text\nother words", 0), 2: ("new one here\n", 1)}
 
 
-# --- 4 -----------------------------------------------------------------------------------------
+def test_tokens_over_64_kib_are_told_apart(spark):
+    a, b = "b" + "a" * 65535 + "c", "c" + "a" * 65535 + "b"
+    d = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.drop_similar_lines(d, counted=True).collect()}
+    assert got == {1: (a, 0), 2: (b, 0), 3: ("", 1)}
+
+
+def test_emptied_documents_go_and_others_are_untouched(spark):
+    data = [(1, "one line of words", 99), (2, "one line of words\n \n", 21), (3, "  ", None), (4, "", None), (5, "  ", 7), (6, None, 3), (7, "one line of words\nand more", None)]
+    d = spark.createDataFrame(data, "doc_id long, text string, n_chars int")
+    out = lines.drop_similar_lines(d, keep_emptied=False, length="n_chars")
+    assert out.schema["n_chars"].dataType == d.schema["n_chars"].dataType
+    got = {tuple(r) for r in out.collect()}
+    assert got == {x for x in data if x[0] not in (2, 7)} | {(7, "and more", 8)}
+
+
+# 4
 def test_fingerprints_against_brute_force(spark):
     data = [(1, "Straße  ﬁx"), (2, "STRASSE fix "), (3, "strasse\nfix"), (4, "other"), (5, None), (6, ""), (7, " "), (None, "other"), (8, None), (4, "other")]
     got = digest.fingerprint(spark.createDataFrame(data, "doc_id long, text string")).collect()
@@ -156,7 +171,7 @@ def test_equal_digests_are_compared_byte_by_byte(spark, monkeypatch):
     assert forms == [b"a", b"b"]
 
 
-# --- 5 -----------------------------------------------------------------------------------------
+# 5
 def test_codes_are_perfect():
     for table, at, _vec, exc in simhash._codes():
         assert np.all([(exc[a:b] == 0).sum() == 1 for a, b in zip(at, at[1:], strict=False)])
@@ -184,7 +199,7 @@ def test_near_pairs_against_brute_force(spark):
     base = rng.integers(0, 2, (60, 256), dtype=np.uint8)
     near = base[rng.integers(0, 60, 200)].copy()
     for row in near:
-        row[rng.choice(256, rng.integers(0, 28), replace=False)] ^= 1
+        row[rng.choice(256, rng.integers(0, 48), replace=False)] ^= 1
     bits = np.unique(np.concatenate([base, near]), axis=0)
     bits[:, 120:128] = 0
     bits = np.unique(bits, axis=0)
@@ -192,7 +207,8 @@ def test_near_pairs_against_brute_force(spark):
     df = spark.createDataFrame([tuple(map(int, w)) for w in words], "f0 long, f1 long, f2 long, f3 long")
     got = {frozenset((tuple(r[:4]), tuple(r[4:]))) for r in simhash.near_pairs(df).collect()}
     d = (bits[:, None] != bits[None]).astype(int)
-    ok = (d[:, :, :120].sum(2) <= simhash.COVER_K) & (d[:, :, 128:].sum(2) <= simhash.CONFIRM_K)
+    block = np.min([d[:, :, b : b + 30].sum(2) for b in simhash.BLOCKS], axis=0)
+    ok = (block <= 2) & (d[:, :, :120].sum(2) <= simhash.COVER_K) & (d[:, :, 128:].sum(2) <= simhash.CONFIRM_K)
     want = {frozenset((tuple(map(int, words[i])), tuple(map(int, words[j])))) for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True)}
     assert got == want and len(want) > 20
 
@@ -203,27 +219,35 @@ def test_components(spark):
     assert got == {i: i - i % 10 for i in range(50) if i % 10} | {200: 100}
 
 
-def test_near_copies_are_caught_and_others_kept(spark):
+def test_anchor_numbers_are_those_of_codewords():
+    x = np.random.default_rng(2).integers(0, 2**30, 2000)
+    _, a = simhash.anchors(x)
+    words = np.unique(a)
+    assert len(np.unique(simhash._number(words))) == len(words) and simhash._number(words).max() < 1 << 16
+
+
+@pytest.mark.parametrize(("words_", "changed", "least"), [(70, 3, 0.85), (120, 6, 0.9), (200, 4, 0.95), (600, 30, 0.95)])
+def test_near_copies_are_caught_and_others_kept(spark, words_, changed, least):
     rng = random.Random(8)
     words = [a + b + c for a in "bdfklmnprst" for b in "aeiou" for c in ("n", "r", "st", "ck")]
-    base = [[rng.choice(words) for _ in range(200)] for _ in range(30)]
     data, i = [], 0
-    for b in base:
+    for _ in range(40):
+        b = [rng.choice(words) for _ in range(words_)]
         data.append((i, " ".join(b)))
         i += 1
         for _ in range(3):
             c = list(b)
-            for k in rng.sample(range(200), 4):
+            for k in rng.sample(range(words_), changed):
                 c[k] = rng.choice(words)
             data.append((i, " ".join(c)))
             i += 1
     got = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    assert all(r["group_id"] % 4 == 0 and r["group_id"] // 4 == i // 4 for i, r in got.items() if r["group_size"] > 1)
-    assert sum(r["keep"] for r in got.values()) <= 33
-    assert sum(r["group_size"] == 4 for r in got.values()) >= 0.9 * len(got)
+    assert all(r["group_id"] // 4 == i // 4 for i, r in got.items())
+    assert sum(r["group_size"] > 1 for r in got.values()) >= least * len(got)
+    assert sum(r["keep"] for r in got.values()) == len({r["group_id"] for r in got.values()})
 
 
-# --- 6 -----------------------------------------------------------------------------------------
+# 6
 @pytest.mark.parametrize(("dims", "n", "k"), [(64, 300, 10), (16, 500, 7), (70, 120, 200)])
 def test_topk_against_brute_force(spark, dims, n, k):
     rng = np.random.default_rng(dims)
@@ -233,12 +257,12 @@ def test_topk_against_brute_force(spark, dims, n, k):
     b = v > 0
     dist = (b[:, None] != b[None]).sum(2)
     want = {(i, rank, int(j), int(dist[i, j])) for i in range(n) for rank, j in enumerate(sorted((x for x in range(n) if x != i), key=lambda x: (dist[i, x], x))[:k], 1)}
-    for how in ({}, {"shard": 100, "block": 90}):
-        got = {(r["vec_id"], r["rank"], r["neighbor_id"], r["distance"]) for r in topk.nearest(d, k, **how).collect()}
-        assert got == want
+    for how in ({}, {"shard": 100, "block": 90}, {"every": 7, "shard": 64, "block": 5}):
+        got = {(r["vec_id"], r["rank"], r["neighbor_id"], r["distance"]) for r in topk.nearest(d, k, **({"every": 1} | how)).collect()}
+        assert got == {x for x in want if x[0] % how.get("every", 1) == 0}
 
 
-# --- 7 -----------------------------------------------------------------------------------------
+# 7
 def test_packing_keeps_every_token_once(spark):
     d = docs(spark)
     got = packing.pack(d, seq_len=64, classes=16).collect()
@@ -285,29 +309,88 @@ def test_nnls():
         assert (x >= 0).all() and (g <= 1e-6).all() and np.abs(g * x).max() < 1e-6
 
 
-# --- 8 -----------------------------------------------------------------------------------------
-def _local_model(texts: list[str]) -> hpylm.Model:
-    held = []
-    for _, data, offs in chunks(pa.array(texts)):
-        c, n = np.unique(hpylm.ngrams(data, offs)[0], return_counts=True)
-        held.append((c, n.astype(np.int64)))
-    code, n = hpylm._sum(*(np.concatenate(x) for x in zip(*held, strict=True)))
+# 8
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.concatenate([hpylm.ngrams(*hpylm.symbols(d, o))[0] for _, d, o in chunks(pa.array(texts, pa.string()))])
+
+
+def _local_model(texts: list[str], burn_in: int = 1, samples: int = 3) -> hpylm.Lookup:
+    code, n = np.unique(_codes(texts), return_counts=True)
     rng = np.random.default_rng(0)
-    top = np.full((64, 64), 1 / 64)
-    tree, driver = hpylm.Tree(code, n, top, rng), hpylm.Top(rng)
+    top = np.full(64**3, 1 / 64)
+    tree, driver = hpylm.Tree.start(code, n.astype(np.int64), top, rng), hpylm.Top(rng)
     tops = []
-    for r in range(4):
+    for r in range(burn_in + samples):
         top = driver.round(tree.top_customers(), 2)
-        tree.round(top, 2, rng, r > 0)
-        tops.append(top)
-        for k, level in enumerate(tree.levels):
-            assert (np.bincount(level.owner, level.size, minlength=len(level.code)) == level.c).all()
-            assert (level.t >= 1).all() and (level.t <= level.c).all()
-            if k + 1 < len(hpylm.LENGTHS):
-                assert (np.bincount(tree.up[k], level.t, minlength=len(tree.levels[k + 1].code)) == tree.levels[k + 1].c).all()
-    parts = [x for level in tree.levels for x in (level.code, level.context)]
-    table = np.concatenate([np.full(len(x), i) for i, x in enumerate(parts)])
-    return hpylm.Model(table, np.concatenate(parts), np.concatenate(tree.sums) / 3, np.mean(tops[1:], axis=0))
+        tree.round(top, 2, rng, r >= burn_in)
+        if r >= burn_in:
+            tops.append(top)
+        if r < 3:
+            for k, level in enumerate(tree.levels):
+                assert (np.bincount(level.owner, level.size, minlength=len(level.code)) == level.c).all()
+                assert (level.t >= 1).all() and (level.t <= level.c).all()
+                if k + 1 < len(hpylm.LENGTHS):
+                    assert (np.bincount(tree.up[k], level.t, minlength=len(tree.levels[k + 1].code)) == tree.levels[k + 1].c).all()
+            again = hpylm.Tree.unpacked(tree.packed())
+            assert all((x.t == y.t).all() and (x.c == y.c).all() and (x.code == y.code).all() for x, y in zip(tree.levels, again.levels, strict=True))
+            assert all((x.c == driver.levels[k - 1].t.reshape(64, -1).sum(0)).all() for k, x in enumerate(driver.levels) if k)
+    return hpylm.Lookup(tree, samples, np.mean(tops, axis=0))
+
+
+class _Franchise:
+    """A hierarchy of restaurants in which customers are seated one by one, table by table."""
+
+    def __init__(self, rng: random.Random):
+        self.rng, self.rooms = rng, defaultdict(lambda: defaultdict(list))
+
+    def chance(self, context: tuple, dish: int) -> float:
+        base = self.chance(context[1:], dish) if context else 1 / 64
+        room, d, theta = self.rooms[context], hpylm.DISCOUNT[len(context)], hpylm.STRENGTH[len(context)]
+        c, t = sum(map(sum, room.values())), sum(map(len, room.values()))
+        return (max(sum(room[dish]) - d * len(room[dish]), 0) + (theta + d * t) * base) / (theta + c)
+
+    def seat(self, context: tuple, dish: int) -> None:
+        base = self.chance(context[1:], dish) if context else 1 / 64
+        room, d, theta = self.rooms[context], hpylm.DISCOUNT[len(context)], hpylm.STRENGTH[len(context)]
+        t = sum(map(len, room.values()))
+        at = self.rng.choices(range(len(room[dish]) + 1), [*(x - d for x in room[dish]), (theta + d * t) * base])[0]
+        if at == len(room[dish]):
+            room[dish].append(1)
+            if context:
+                self.seat(context[1:], dish)
+        else:
+            room[dish][at] += 1
+
+    def leave(self, context: tuple, dish: int) -> None:
+        tables = self.rooms[context][dish]
+        at = self.rng.choices(range(len(tables)), tables)[0]
+        tables[at] -= 1
+        if not tables[at]:
+            del tables[at]
+            if context:
+                self.leave(context[1:], dish)
+
+
+def test_language_model_against_seating_one_by_one():
+    text = "the water of the house and the time of the people with that other water"
+    codes = _codes([text])
+    customers = [(tuple(int(c) >> 6 * k & 63 for k in range(5, 0, -1)), int(c) & 63) for c in codes]
+    f = _Franchise(random.Random(5))
+    for context, dish in customers:
+        f.seat(context, dish)
+    asked = np.concatenate([np.unique(codes), codes[:20] ^ np.uint64(5), codes[:20] ^ np.uint64(7 << 18)])
+    want = np.zeros(len(asked))
+    sweeps = 260
+    for sweep in range(sweeps):
+        for context, dish in customers:
+            f.leave(context, dish)
+            f.seat(context, dish)
+        if sweep >= 60:
+            want += [f.chance(tuple(int(c) >> 6 * k & 63 for k in range(5, 0, -1)), int(c) & 63) for c in asked]
+    want /= sweeps - 60
+    got = _local_model([text], burn_in=30, samples=300).probability(asked)
+    off = np.abs(np.log(got) - np.log(want))
+    assert off.mean() < 0.1 and off.max() < 0.4, (off.mean(), off.max())
 
 
 def test_language_model_is_a_distribution_and_learns():
@@ -316,8 +399,7 @@ def test_language_model_is_a_distribution_and_learns():
     m = _local_model(train)
 
     def perplexity(texts):
-        p = np.concatenate([m.probability(hpylm.ngrams(d, o)[0]) for _, d, o in chunks(pa.array(texts))])
-        return float(np.exp(-np.log(p).mean()))
+        return float(np.exp(-np.log(m.probability(_codes(texts))).mean()))
 
     assert perplexity(held) < 4 < perplexity([sentence(rng, _FR, 40) for _ in range(30)])
     contexts = np.array([0, 1, 2**30 - 1, 12345], np.uint64)
@@ -382,21 +464,31 @@ def test_tables_grow_with_the_count(d):
         assert abs(got.mean() - mean) < 0.1 * sd and abs(got.std() - sd) < 0.1 * sd
 
 
-def test_passes_agree(spark):
+def test_scores_against_one_model_in_one_place(spark):
     d = docs(spark)
-    model = hpylm.fit(d, burn_in=1, samples=1, moves=1)
     key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_symbols"])
-    one = sorted(hpylm.score(d, model).collect(), key=key)
-    many = sorted(hpylm.score(d, model, max_model=200).collect(), key=key)
-    assert len(one) == len(many)
-    for a, b in zip(one, many, strict=True):
-        assert a["n_symbols"] == b["n_symbols"] and abs(a["log_prob"] - b["log_prob"]) < 0.01
-    by = {r["doc_id"]: r for r in one}
+    runs = []
+    for how in ({}, {"block_bytes": 3000, "salt_bytes": 20_000}):
+        blocks = hpylm.blocked(d, parts=3, **how)
+        assert blocks.texts.select("block").distinct().count() > 3 * bool(how) and (blocks.salts > 1) == bool(how)
+        model = hpylm.fit(blocks, burn_in=1, samples=2, moves=1)
+        runs.append(sorted(hpylm.score(blocks, model).collect(), key=key))
+    assert runs[0] == runs[1]
+    # the same model, looked up text by text
+    look = {r["part"]: hpylm.Lookup(hpylm.Tree.unpacked(bytes(r["state"])), 2, model.top) for r in model.state.collect()}
+    want = Counter()
+    for r in rows():
+        c = _codes([r[1]])
+        part = hpylm.part_of(c, 3)
+        lp = sum(float(np.log(look[p].probability(c[part == p])).sum()) for p in look) if len(c) else 0.0
+        want[(r[0], len(r[1] or ""), round(lp, 1))] += 1
+    assert Counter((r["doc_id"], r["n_symbols"], round(r["log_prob"], 1)) for r in runs[0]) == want
+    by = {r["doc_id"]: r for r in runs[0]}
     assert by[103]["perplexity"] is None and by[103]["n_symbols"] == 0 and by[102]["perplexity"] is None
-    assert by[107]["n_symbols"] == 4
+    assert by[107]["n_symbols"] == 4 and abs(by[107]["perplexity"] - math.exp(-by[107]["log_prob"] / 4)) < 1e-3
 
 
-# --- 9 -----------------------------------------------------------------------------------------
+# 9
 def test_chats_against_brute_force(spark):
     rng = random.Random(2)
     data, logs = [], {}
@@ -409,7 +501,7 @@ def test_chats_against_brute_force(spark):
     assert got == want
 
 
-# --- 10 ----------------------------------------------------------------------------------------
+# 10
 def test_place_against_brute_force():
     rng = np.random.default_rng(3)
     needs = rng.random((80, 3)) * 0.2
@@ -460,20 +552,3 @@ def test_shards_are_balanced(spark):
     assert sum(r["n"] for r in sums) == d.count()
     mean = sum(r["b"] for r in sums) / len(sums)
     assert max(r["b"] for r in sums) < 1.35 * mean
-
-
-# --- pipeline ----------------------------------------------------------------------------------
-def test_pipeline_is_its_stages(spark):
-    got = corpus_pipeline.run(spark, SF)
-    d = spark.read.parquet(f"{SF}/documents.parquet")
-    ok = {r["doc_id"] for r in langid.identify(d, langid.fit(d)).collect() if r["accepted"]}
-    d = d.where(F.col("doc_id").isin(*ok))
-    clean = [r for r in lines.drop_similar_lines(d, counted=True).collect() if not r["n_removed"] or r["text"].strip()]
-    d2 = spark.createDataFrame([(r["doc_id"], r["text"]) for r in clean], "doc_id long, text string").join(d.drop("text"), "doc_id")
-    keep = {r["doc_id"] for r in simhash.near_duplicates(d2).collect() if r["keep"]}
-    d3 = d2.where(F.col("doc_id").isin(*keep))
-    plan = {r["doc_id"]: r["copies"] * r["tokens"] for r in mixing.mix(d3, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
-    packed = Counter()
-    for r in got.collect():
-        packed[r["doc_id"]] += r["n_tokens"]
-    assert packed == Counter({k: v for k, v in plan.items() if v})
