@@ -50,35 +50,35 @@ def own_output(rel: Column | str, base: str) -> Column:
 
 # duplicates
 def duplicate_groups(items: DataFrame, item: str, content: str, algorithm: str = "md5") -> DataFrame:
-    """hash, n and size of every content that occurs more than once. Sizes that occur once are never hashed, and
-    what is shuffled is the key and its size, never the content."""
-    hashed = _hashed(items, item, content, algorithm)
+    """hash, n and size of every content that occurs more than once. Every content is hashed where it lies, and what is
+    shuffled is the hash and the size, never the content."""
+    size = F.octet_length(content).cast("long")
+    hashed = items.where(F.col(content).isNotNull()).select(size.alias("size"), _digest(content, algorithm).alias("hash"))
     return hashed.groupBy("hash").agg(F.count("*").alias("n"), F.min("size").alias("size")).where("n > 1")
 
 
-def _hashed(items: DataFrame, item: str, content: str, algorithm: str) -> DataFrame:
-    size = F.octet_length(content).cast("long")
-    digest = F.md5(content) if algorithm == "md5" else F.sha2(content, 256)
-    return items.where(F.col(content).isNotNull()).select(F.col(item).alias("item"), size.alias("size"), digest.alias("hash"))
+def _digest(content: str, algorithm: str) -> Column:
+    return F.md5(content) if algorithm == "md5" else F.sha2(content, 256)
 
 
-def duplicate_candidates(items: DataFrame, content: str) -> DataFrame:
-    """The items whose size another item has: what needs reading when sizes are known without it."""
-    size = F.octet_length(content)
-    sizes = items.groupBy(size.alias("same_size")).agg(F.count("*").alias("same_n")).where("same_n > 1").select("same_size")
-    return items.join(sizes, size == F.col("same_size"), "left_semi")
+def duplicate_candidates(items: DataFrame, item: str, content: str) -> DataFrame:
+    """The numbers (or paths) of the items whose size another item has: what needs reading when sizes are known without
+    it. Items and sizes are shuffled, never contents."""
+    sized = items.where(F.col(content).isNotNull()).select(F.col(item).alias("item"), F.octet_length(content).alias("size"))
+    twice = sized.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size")
+    return sized.join(twice, "size", "left_semi").select("item", "size")
 
 
 def duplicate_members(items: DataFrame, item: str, content: str, age: str, algorithm: str = "md5") -> DataFrame:
     """hash, item and whether it is the newest or the oldest of its group, by age and then item."""
-    h = items.where(F.col(content).isNotNull()).select(F.col(item).alias("item"), F.col(age).alias("age"), (F.md5(content) if algorithm == "md5" else F.sha2(content, 256)).alias("hash"))
+    h = items.where(F.col(content).isNotNull()).select(F.col(item).alias("item"), F.col(age).alias("age"), _digest(content, algorithm).alias("hash"))
     ends = h.groupBy("hash").agg(F.count("*").alias("n"), F.max(F.struct("age", "item")).alias("last"), F.min(F.struct("age", "item")).alias("first")).where("n > 1")
     return h.join(ends, "hash").select("hash", "item", (F.struct("age", "item") == F.col("last")).alias("is_newest"), (F.struct("age", "item") == F.col("first")).alias("is_oldest"))
 
 
 def duplicate_report(files: DataFrame, algorithm: str = "md5") -> DataFrame:
     """hash, count, size_bytes, newest and all_files (by time, then path) from (path, size, ts, time_type, content)."""
-    digest = F.md5("content") if algorithm == "md5" else F.sha2("content", 256)
+    digest = _digest("content", algorithm)
     record = F.struct("path", "size", "ts", "time_type")
     rows = files.where("content is not null").select(digest.alias("hash"), record.alias("f"))
     groups = rows.groupBy("hash").agg(F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct(F.col("f.ts").alias("ts"), F.col("f.path").alias("path"), "f"))).alias("x")).where("count > 1")
@@ -107,6 +107,13 @@ def empty_folders(folders: DataFrame, files: DataFrame, skip: tuple[str, ...] =
     return kept.join(full, "path", "left_anti")
 
 
+def empty_folder_counts(folders: DataFrame, empty: DataFrame) -> DataFrame:
+    """One row: n_folders looked at, n_empty, and n_top, the empty ones whose parent is not empty itself."""
+    parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    top = empty.select(parent.alias("path")).join(empty.select("path"), "path", "left_anti").agg(F.count("*").alias("n_top"))
+    return folders.select("path").distinct().agg(F.count("*").alias("n_folders")).crossJoin(empty.agg(F.count("*").alias("n_empty"))).crossJoin(top)
+
+
 def extension_counts(files: DataFrame) -> DataFrame:
     return files.groupBy(F.lower(suffix("path")).alias("ext")).agg(F.count("*").alias("n"))
 

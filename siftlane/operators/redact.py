@@ -24,16 +24,24 @@ class Redactor:
     overlap: str = "keep"  # 'merge' joins partial overlaps, which otherwise are spliced one after the other
     label_urls: bool = True
     extra: dict[str, str] = field(default_factory=dict)  # replacement by entity
+    regex_only: bool = False  # types that no pattern finds are left out, and models too
+
+    def __post_init__(self) -> None:
+        """A type that nothing here can find is an error, never a silent leak."""
+        known = set(rec.PATTERNS).union(*((m.entities if isinstance(m, rec.Model) else {m.entity}) for m in self.models))
+        missing = [] if self.regex_only else [e for e in self.entities if e not in known]
+        if missing:
+            rec.unavailable(f"{', '.join(missing)} (or set regex_only)")
 
     @property
     def mode(self) -> str:
-        return "ner" if self.models else "regex" if any(e in rec.PATTERNS for e in self.entities) else "keyword"
+        return "ner" if self.models and not self.regex_only else "regex" if any(e in rec.PATTERNS for e in self.entities) else "keyword"
 
     def recognizers(self) -> list:
         """Patterns first, then keywords, then models: their order decides ties. Only asked-for types run."""
         own = [rec.PATTERNS[e] for e in self.entities if e in rec.PATTERNS]
         asked = set(self.entities)
-        models = [m for m in self.models if not isinstance(m, rec.Model) or m.entities & asked]
+        models = [m for m in (() if self.regex_only else self.models) if not isinstance(m, rec.Model) or m.entities & asked]
         return own + rec.keyword_patterns(list(self.keywords)) + models
 
     def analyze(self, text: Column | str) -> Column:
@@ -71,7 +79,9 @@ class Redactor:
 def tally(rows: DataFrame, spans_column: str = "spans", ok: Column | None = None) -> DataFrame:
     """entity, matched_text and count. ok: rows that failed are left out, with all that they had matched."""
     rows = rows if ok is None else rows.where(ok)
-    return rows.select(F.explode(spans_column).alias("x")).groupBy(F.col("x.entity").alias("entity"), F.col("x.text").alias("matched_text")).agg(F.count("*").alias("count"))
+    # explode_outer: for explode Spark infers filters on the array, and computes it anew for each of them
+    found = rows.select(F.explode_outer(spans_column).alias("x")).where("x is not null")
+    return found.groupBy(F.col("x.entity").alias("entity"), F.col("x.text").alias("matched_text")).agg(F.count("*").alias("count"))
 
 
 def scan(rows: DataFrame, redactor: Redactor, text: str = "text") -> DataFrame:

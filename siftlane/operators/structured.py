@@ -34,6 +34,12 @@ def _put_json(text: str, new, nested: bool) -> str | None:
     return None if obj is None else json.dumps(walk(obj, lambda _: next(it), nested), ensure_ascii=False, indent=2) + "\n"
 
 
+@pandas_udf(T.BooleanType())
+def parses(texts: pd.Series) -> pd.Series:
+    """Is it JSON?"""
+    return texts.map(lambda t: t is not None and _loads(t) is not None)
+
+
 def _take_html(text: str) -> tuple[list[str], list[str]]:
     """Texts, and link targets (each once as href and, where a label is asked for, once more)."""
     texts, links = [], []
@@ -97,7 +103,7 @@ def redact_html(rows: DataFrame, redactor: Redactor) -> DataFrame:
         ])
 
     held = rows.withColumn("x", take("text")).select("path", "text", F.col("x.texts").alias("texts"), F.col("x.links").alias("links"))
-    plain = Redactor(redactor.entities, redactor.keywords, redactor.replacement, redactor.models, redactor.overlap, False, redactor.extra)
+    plain = Redactor(redactor.entities, redactor.keywords, redactor.replacement, redactor.models, redactor.overlap, False, redactor.extra, redactor.regex_only)
     held = _all(_all(held, "texts", redactor), "links", plain)
     aliases = {k.find: k.replace or redactor.replacement for k in redactor.keywords}
     labels = F.transform("links", lambda u: url_token(u, aliases))

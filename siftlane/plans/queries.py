@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftlane.functions import spans, text as tx
 from siftlane.operators import documents as docs_op
-from siftlane.operators import filenames, inventory, keywords, recognizers, report, search, sections, sessions, verify
+from siftlane.operators import filenames, inventory, keywords, recognizers, report, search, sections, sessions, structured, verify
 from siftlane.operators.keywords import Keyword
 from siftlane.operators.redact import Redactor, scan, tally
 
@@ -126,13 +126,13 @@ SELECT doc_id, unnest(s) AS s, unnest(list_transform(range(1, len(m) + 1), lambd
 )
 def span_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents")
-    x = d.select("doc_id", F.explode(spans.find_all("text", keywords.pattern(KEYWORDS), "KW")).alias("x"))
+    x = d.select("doc_id", F.explode_outer(spans.find_all("text", keywords.pattern(KEYWORDS), "KW")).alias("x")).where("x is not null")
     return x.select("doc_id", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.text").alias("matched"))
 
 
 def _entity(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents")
-    return d.select("doc_id", F.explode(recognizers.PATTERNS[entity].find("text", 0)).alias("x")).select("doc_id", F.col("x.text").alias("matched"))
+    return d.select("doc_id", F.explode_outer(recognizers.PATTERNS[entity].find("text", 0)).alias("x")).where("x is not null").select("doc_id", F.col("x.text").alias("matched"))
 
 
 _EMAIL = r"(?i)\b[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}\b"
@@ -288,9 +288,9 @@ def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.duplicate_groups(_t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@_query(_SQL["dup_groups"])
+@_query("SELECT item, size FROM (SELECT doc_id AS item, octet_length(encode(text))::INT AS size, count(*) OVER (PARTITION BY octet_length(encode(text))) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 1")
 def dup_size_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.duplicate_groups(inventory.duplicate_candidates(_t(spark, sf_dir, "documents"), "text"), "doc_id", "text")
+    return inventory.duplicate_candidates(_t(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @_query(
@@ -317,11 +317,27 @@ a AS (SELECT DISTINCT n_name || '/' || c_mktsegment || '/b' || floor(c_acctbal /
 SELECT path FROM a WHERE path NOT IN (SELECT d FROM f)"""
 )
 def empty_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.empty_folders(*_folders(spark, sf_dir))
+
+
+def _folders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c, n = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
     kinds = c.select("c_mktsegment", F.floor(F.col("c_acctbal") / 100).alias("b")).distinct()
     folders = kinds.crossJoin(n.select("n_name")).select(F.concat("n_name", F.lit("/"), "c_mktsegment", F.lit("/b"), F.col("b").cast("string")).alias("path"))
     files = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(_folder(F.col("n_name")), F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("path"))
-    return inventory.empty_folders(folders, files)
+    return folders, files
+
+
+_EMPTY_SQL = _SQL["empty_folders"]
+
+
+@_query(
+    f"""WITH e AS ({_EMPTY_SQL}) SELECT (SELECT count(*) FROM (SELECT DISTINCT n_name || '/' || c_mktsegment || '/b' || floor(c_acctbal / 100)::BIGINT AS path FROM customer, nation))::BIGINT AS n_folders,
+  count(*)::BIGINT AS n_empty, count(*) FILTER (regexp_extract(path, '^(.*)/[^/]*$', 1) NOT IN (SELECT path FROM e))::BIGINT AS n_top FROM e"""
+)
+def empty_folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folders, files = _folders(spark, sf_dir)
+    return inventory.empty_folder_counts(folders, inventory.empty_folders(folders, files))
 
 
 # search
@@ -341,7 +357,7 @@ def log_search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # file names
 NAME_KEYS = [Keyword("building", "[SEG/01]"), Keyword("machinery", "[SEG/01]"), Keyword("house", "__H__"), Keyword("auto"), Keyword("it", "x")]
-_CUST = "n_name || ' ' || c_mktsegment || '/' || c_mktsegment || '-' || (c_custkey % 50)::VARCHAR || '.md'"
+_CUST = "n_name || ' ' || c_mktsegment || '/' || c_mktsegment || '-' || (c_custkey // 10)::VARCHAR || '.md'"
 _RENAMED = """regexp_replace(regexp_replace(path, '(?i)machinery|building', 'SEG_01', 'g'), '(?i)house', 'H', 'g')"""
 _PLAN = f"""files AS (SELECT DISTINCT {_CUST} AS path FROM customer JOIN nation ON c_nationkey = n_nationkey
 ), r AS (SELECT path, {_RENAMED} AS renamed, len(regexp_extract_all(path, '(?i)machinery|building|house'))::BIGINT AS hits FROM files
@@ -351,7 +367,7 @@ _PLAN = f"""files AS (SELECT DISTINCT {_CUST} AS path FROM customer JOIN nation
 
 def _name_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
-    path = F.concat("n_name", F.lit(" "), "c_mktsegment", F.lit("/"), "c_mktsegment", F.lit("-"), (F.col("c_custkey") % 50).cast("string"), F.lit(".md"))
+    path = F.concat("n_name", F.lit(" "), "c_mktsegment", F.lit("/"), "c_mktsegment", F.lit("-"), F.floor(F.col("c_custkey") / 10).cast("string"), F.lit(".md"))
     files = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(path.alias("path")).distinct()
     return filenames.resolve_collisions(filenames.rename(files, NAME_KEYS))
 
@@ -386,21 +402,24 @@ UNION ALL SELECT 'supplier', s_suppkey, {_CELL_SQL.format("s_name")}, {_CELL_SQL
 def csv_cells_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer").select(F.lit("customer").alias("source"), F.col("c_custkey").alias("id"), F.array(F.array("c_name", "c_mktsegment")).alias("cells"))
     s = _t(spark, sf_dir, "supplier").select(F.lit("supplier").alias("source"), F.col("s_suppkey").alias("id"), F.array(F.array("s_name", F.col("s_suppkey").cast("string"))).alias("cells"))
-    rows = c.unionByName(s).withColumn("cells", docs_op.redact_cells(F.col("cells"), lambda x: keywords.redact(x, _CELL)))
-    return rows.select("source", "id", F.col("cells")[0][0].alias("a"), F.col("cells")[0][1].alias("b"))
+    rows = c.unionByName(s).select(F.concat_ws("/", "source", "id").alias("path"), "cells")
+    done = structured.redact_csv(rows, Redactor((), tuple(_CELL)))
+    return done.select(F.split("path", "/")[0].alias("source"), F.split("path", "/")[1].cast("long").alias("id"), F.col("cells")[0][0].alias("a"), F.col("cells")[0][1].alias("b"))
 
 
-def _shout(s: str) -> str:
-    return s.upper()
+_JSON = Redactor((), (Keyword("user", "[ROLE]"), Keyword("assistant"), Keyword("that", "[T]")))
+_JSON_SQL = "regexp_replace(regexp_replace(regexp_replace({0}, '(?i)\\buser\\b', '[ROLE]', 'g'), '(?i)\\bassistant\\b', '█████', 'g'), '(?i)\\bthat\\b', '[T]', 'g')"
 
 
-@_query(
-    """SELECT event_id, k AS key, CASE WHEN json_type(props, '$."' || k || '"') = 'VARCHAR' THEN upper(json_extract_string(props, '$."' || k || '"')) ELSE json_extract_string(props, '$."' || k || '"') END AS value
-FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"""
-)
+@_query(f"SELECT conv_id, turn, {_JSON_SQL.format('role')} AS role, {_JSON_SQL.format('text')} AS text FROM conversations")
 def json_values_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events").select("event_id", docs_op.json_redact("props", _shout, indent=None).alias("j"))
-    return e.select("event_id", F.explode(F.from_json("j", "map<string,string>")).alias("key", "value"))
+    """Each turn as a JSON file with another JSON text inside it."""
+    c = _t(spark, sf_dir, "conversations")
+    inner = F.to_json(F.struct("text"))
+    rows = c.select(F.concat_ws("/", "conv_id", "turn").alias("path"), F.to_json(F.struct("turn", "role", inner.alias("inner"))).alias("text"))
+    done = structured.redact_json(rows, _JSON).select("path", F.from_json("redacted", "role string, inner string").alias("j"))
+    inside = F.from_json("j.inner", "text string")["text"]
+    return done.select(F.split("path", "/")[0].cast("long").alias("conv_id"), F.split("path", "/")[1].cast("long").alias("turn"), F.col("j.role").alias("role"), inside.alias("text"))
 
 
 @_query("SELECT event_id, json_valid(props) AS ok FROM events UNION ALL SELECT -1 - doc_id, json_valid(trim(split_part(text, chr(10), 1))) FROM documents")
@@ -421,7 +440,9 @@ def html_href(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def html_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "pages").select("page_id", docs_op.html_redact("html", _shout, lambda u: "[URL]").alias("html"))
+    pages = _t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"))
+    done = structured.redact_html(pages, Redactor(("EMAIL_ADDRESS", "URL"), tuple(KEYWORDS)))
+    return done.select(F.col("path").cast("long").alias("page_id"), F.col("redacted").alias("html"), "n_redactions")
 
 
 @_query()
@@ -549,10 +570,28 @@ def verify_i4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(verify.i4_nothing_forbidden(_logs(spark, sf_dir).select(F.col("path").alias("item"))))
 
 
-@_query("SELECT 'I5' AS id, 'PASS' AS status, 0::BIGINT AS n, md5(string_agg(n_name, ',' ORDER BY n_name)) AS items FROM nation")
+_I5 = """SELECT 'I5' AS id, CASE WHEN (SELECT md5(string_agg(doc_id::VARCHAR || ':' || md5(text), ',' ORDER BY doc_id)) FROM {0}) IS NOT DISTINCT FROM (SELECT md5(string_agg(doc_id::VARCHAR || ':' || md5(text), ',' ORDER BY doc_id)) FROM {1})
+  THEN 'PASS' ELSE 'FAIL' END AS status, 0::BIGINT AS n, (SELECT md5(string_agg(doc_id::VARCHAR || ':' || md5(text), ',' ORDER BY doc_id)) FROM {1}) AS items"""
+_STATES = """(SELECT d.doc_id, text FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) USING (doc_id))"""
+_AFTER = """(SELECT d.doc_id, text || '.' AS text FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) USING (doc_id))"""
+
+
+def _state(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    """One hash over the documents that are labelled toxic, as a baseline file and the file after would have."""
+    toxic = _t(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    rows = _t(spark, sf_dir, "documents").join(toxic, "doc_id").select("doc_id", F.md5(text).alias("h"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["h"]))
+    return rows.agg(F.md5(F.array_join(listed, ",")).alias("hash"))
+
+
+@_query(_I5.format(_STATES, _STATES))
 def verify_i5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _t(spark, sf_dir, "nation").agg(F.md5(F.array_join(F.array_sort(F.collect_list("n_name")), ",")).alias("hash"))
-    return _flat(verify.i5_same(h, h))
+    return _flat(verify.i5_same(_state(spark, sf_dir, F.col("text")), _state(spark, sf_dir, F.concat("text", F.lit("")))))
+
+
+@_query(_I5.format(_STATES, _AFTER))
+def verify_i5_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(verify.i5_same(_state(spark, sf_dir, F.col("text")), _state(spark, sf_dir, F.concat("text", F.lit(".")))))
 
 
 @_query(
@@ -565,11 +604,26 @@ def verify_i6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(verify.i6_sources_unchanged(_items(spark, sf_dir, "labels", "doc_id"), _items(spark, sf_dir, "embeddings", "vec_id")))
 
 
-@_query("SELECT 'FAIL' AS verdict, 2::INT AS exit_code FROM (SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WHERE n >= 0")
+def _verdict_sql(names: tuple[str, ...]) -> str:
+    parts = " UNION ALL ".join(f"SELECT status FROM ({_SQL[n]})" for n in names)
+    return f"SELECT CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'SKIPPED') THEN 'FAIL' ELSE 'PASS' END AS verdict, CASE WHEN bool_or(status IN ('FAIL', 'SKIPPED')) THEN 2 ELSE 0 END::INT AS exit_code FROM ({parts})"
+
+
+@_query(_verdict_sql(("verify_i1", "verify_i2", "verify_i3", "verify_i4", "verify_i5", "verify_i6")))
 def verify_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.verdict(verify.all_results(*(f(spark, sf_dir) for f in (verify_i1, verify_i2, verify_i3, verify_i4, verify_i5, verify_i6))))
 
 
+@_query(_inv("I1", "SELECT DISTINCT doc_id::VARCHAR AS item FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"))
+def verify_i1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(verify.i1_nothing_lost(_items(spark, sf_dir, "labels", "doc_id"), _items(spark, sf_dir, "documents", "doc_id")))
+
+
+@_query(_verdict_sql(("verify_i1_kept", "verify_i5")))
+def verify_verdict_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.verdict(verify.all_results(*(f(spark, sf_dir) for f in (verify_i1_kept, verify_i5))))
+
+
 @_query("SELECT 601::BIGINT AS transcripts_copied, 2::BIGINT AS transcripts_skipped, 3::BIGINT AS tool_results_copied, 4::BIGINT AS memory_copied, 0::BIGINT AS errors, false AS dry_run")
 def machine_summary_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.last_summary(_log(spark)).select("s.*")
@@ -621,7 +675,20 @@ def section_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.blocks(_layout(spark, sf_dir))
 
 
-@_query()
+_BLOCKS = rf"""r AS (SELECT image, ord, y, x, {_FIXED} AS text, round(x, 3) AS rx, row_number() OVER w AS pos, y - lag(y) OVER w AS gap FROM sec WINDOW w AS (PARTITION BY image ORDER BY y, ord)
+), m AS (SELECT image, arg_max(rx, struct_pack(c := c, f := -f)) AS margin FROM (SELECT image, rx, count(*) AS c, min(pos) AS f FROM r GROUP BY ALL) GROUP BY image
+), d AS (SELECT image, coalesce(quantile_cont(gap, 0.5), 1.0) AS med FROM r GROUP BY image
+), b AS (
+  SELECT image, pos, text, regexp_matches(text, '^\s*[*·▪⁃‣•-]\s+') AS ul, regexp_matches(text, '^\s*[0-9]{{1,2}}[).]\s+') AS ol, x > margin + 0.012 AS ind, coalesce(gap > med * 1.6, false) AS big FROM r JOIN m USING (image) JOIN d USING (image)
+), k AS (SELECT *, CASE WHEN ul THEN 'ul' WHEN ol THEN 'ol' WHEN ind AND pos > 1 THEN 'ul' ELSE 'p' END AS kind, ul OR ol OR pos = 1 OR big OR ind AS new FROM b
+), o AS (SELECT *, sum(new::INT) OVER (PARTITION BY image ORDER BY pos) AS block FROM k
+), bl AS (SELECT image, block, arg_min(kind, pos) AS kind, string_agg(trim(CASE WHEN ul THEN regexp_replace(text, '^\s*[*·▪⁃‣•-]\s+', '') ELSE text END, ' ' || chr(9) || chr(13) || chr(12) || chr(11)), ' ' ORDER BY pos) AS text FROM o GROUP BY 1, 2)"""
+
+
+@_query(
+    f"""WITH {_SECTION}, {_BLOCKS}, g AS (SELECT *, lag(kind) OVER (PARTITION BY image ORDER BY block) AS before FROM bl)
+SELECT image, string_agg(CASE WHEN before IS NULL THEN '' WHEN kind <> 'p' AND before <> 'p' THEN chr(10) ELSE chr(10) || chr(10) END || CASE WHEN kind = 'ul' THEN '- ' ELSE '' END || text, '' ORDER BY block) AS markdown FROM g GROUP BY 1"""
+)
 def section_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.markdown(sections.blocks(_section(spark, sf_dir)))
 

@@ -9,8 +9,10 @@ DEFAULTS: dict = {
     "entities": "PERSON EMAIL_ADDRESS PHONE_NUMBER CREDIT_CARD IBAN_CODE IP_ADDRESS US_SSN".split(),
     "custom_keywords": [], "replacement": "█████", "output_dir": "redacted", "copy_unhandled": False, "decode_nested_json": True,
     "regex_only": False, "report": False, "timestamp_outputs": False, "include_extensions": [], "skip_extensions": [],
-    "tight_image_boxes": False, "redact_filenames": False, "filename_min_match_len": 4, "ocr": {"dpi": 200},
+    "redact_filenames": False, "filename_min_match_len": 4, "names": [], "names_file": "names.md",
+    "tight_image_boxes": False, "ocr": {"dpi": 200},  # for picture and PDF plug-ins
 }
+MARKERS = ("# names: begin", "# names: end")
 
 
 def merge(base: dict, over: dict | None) -> dict:
@@ -23,11 +25,40 @@ def merge(base: dict, over: dict | None) -> dict:
 
 
 def load(path: str | None) -> dict:
-    if path is None:
-        return dict(DEFAULTS)
+    return dict(DEFAULTS) if path is None else load_text(Path(path).read_text(encoding="utf-8"))
+
+
+def load_text(text: str) -> dict:
+    """A setting that nothing reads is named in a warning, as it may have been meant to protect something."""
+    import warnings
+
     import yaml
 
-    return merge(DEFAULTS, yaml.safe_load(Path(path).read_text(encoding="utf-8")))
+    try:
+        given = yaml.safe_load(text) or {}
+    except yaml.YAMLError as e:
+        raise ValueError(f"the configuration is no YAML: {e}") from e
+    if unknown := sorted(set(given) - set(DEFAULTS)):
+        warnings.warn(f"settings that nothing reads: {', '.join(unknown)}", stacklevel=2)
+    return merge(DEFAULTS, given)
+
+
+def splice(path: str, entries: str, write: bool = True, markers: tuple[str, str] = MARKERS) -> str:
+    """The configuration with entries between its markers. With write it takes the file's place in one move, the old one
+    kept beside it as .bak; what wouldn't load is never written."""
+    import os
+
+    from siftlane.operators.keywords import splice as between
+
+    old = Path(path).read_text(encoding="utf-8")
+    new = between(old, entries, *markers)
+    load_text(new)
+    if write:
+        Path(f"{path}.bak").write_text(old, encoding="utf-8")
+        part = Path(f"{path}.{os.getpid()}.part")
+        part.write_text(new, encoding="utf-8")
+        os.replace(part, path)
+    return new
 
 
 def env(text: str, inline_comments: bool = False) -> dict[str, str]:

@@ -26,6 +26,7 @@ def _put(path: str, write) -> None:
 
 def write_tree(rows: DataFrame, root: str, path: str = "path", text: str = "text") -> DataFrame:
     """Write (path, text) rows below root, a shared folder, and give path and bytes written. Nothing is collected."""
+    root = os.path.abspath(root)  # as the driver sees it: executors have other working directories
 
     def run(batches):
         for pdf in batches:
@@ -45,20 +46,23 @@ def _dump(path: str, data: bytes) -> None:
 
 
 def copy_files(plan: DataFrame, source: str, target: str) -> DataFrame:
-    """Carry out the copy and recopy rows of a copy plan; path, action and error (null if none)."""
+    """Carry out the copy and recopy rows of a copy plan; path, action and error (null if none). A column `final` is the
+    name that the copy gets."""
+    source, target = os.path.abspath(source), os.path.abspath(target)
 
     def run(batches):
         for pdf in batches:
             errors = []
-            for rel in pdf["path"]:
+            for rel, final in zip(pdf["path"], pdf["final"], strict=True):
                 try:
-                    _put(_inside(target, rel), lambda p, s=os.path.join(source, rel): shutil.copy2(s, p))
+                    _put(_inside(target, final), lambda p, s=os.path.join(source, rel): shutil.copy2(s, p))
                     errors.append(None)
                 except OSError as e:
                     errors.append(str(e))
             yield pdf[["path", "action"]].assign(error=errors)
 
-    return plan.where(F.col("action").isin("copy", "recopy")).select("path", "action").mapInPandas(run, "path string, action string, error string")
+    final = F.col("final" if "final" in plan.columns else "path").alias("final")
+    return plan.where(F.col("action").isin("copy", "recopy")).select("path", "action", final).mapInPandas(run, "path string, action string, error string")
 
 
 def write_report(groups: DataFrame, path: str) -> None:
