@@ -194,6 +194,41 @@ def tokens(data: np.ndarray, offs: np.ndarray, words: bool = False) -> tuple[np.
     return starts, mix(np.add.reduceat(value, starts))
 
 
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+_LONG = 256
+
+
+def space_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As tokens() by white space, with another hash, of eight bytes at a time: a step for each token instead of each byte.
+    Tokens of over 256 bytes are hashed by tokens()."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    space = _SPACE[data]
+    start, last = ~space, ~space
+    start[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    edge = offs[:-1][offs[:-1] < len(data)]
+    start[edge] = ~space[edge]
+    edge = edge[edge > 0]
+    last[edge - 1] = ~space[edge - 1]
+    starts = np.flatnonzero(start)
+    if not len(starts):
+        return starts, np.zeros(0, U64)
+    size = np.flatnonzero(last) + 1 - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = data
+    word = np.ndarray(len(data), "<u8", padded, strides=(1,))
+    h = mix(word[starts] & _BYTES[np.minimum(size, 8)] ^ size.astype(U64) << U64(56))
+    at, done = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(at):
+        h[at] = mix(h[at] + U64(0x9E3779B97F4A7C15) ^ word[starts[at] + done] & _BYTES[np.minimum(size[at] - done, 8)])
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > _LONG):
+        h[i] = tokens(data[starts[i] : starts[i] + size[i]], np.array([0, size[i]]))[1][0]
+    return starts, h
+
+
 def group_by_part(rec: np.ndarray, hashed: np.ndarray, parts: int) -> pa.RecordBatch:
     """Rows (part, rows) for a shuffle of packed records: one blob of rec for each of `parts` hash partitions."""
     part = (mix(hashed) % U64(parts)).astype(np.int32)

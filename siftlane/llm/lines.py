@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlane.llm.common import U64, bitmap, chunks, group_by_part, hits, materialize, may_hold, mix, partitions, runs, tokens, unpack, with_key, with_row
+from siftlane.llm.common import U64, bitmap, chunks, group_by_part, hits, materialize, may_hold, mix, partitions, runs, space_tokens, unpack, with_key, with_row
 
 THRESHOLD = 0.8
 _CELLS, _BLOCK = 1 << 20, 1 << 12
@@ -38,7 +38,7 @@ def _count(batches):
     held, size = [], 0
     for batch in batches:
         for _, data, offs in chunks(batch.column("text")):
-            _, h = tokens(data, offs)
+            _, h = space_tokens(data, offs)
             held.append((h >> U64(44)).astype(np.int32))
             size += len(h)
             if size > _CELLS:
@@ -78,7 +78,7 @@ class Lines:
     """The distinct tokens of a chunk's lines, each line's rarest first."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, rank: np.ndarray):
-        start, h = tokens(data, offs)
+        start, h = space_tokens(data, offs)
         self.n = 0
         if not len(start):
             return
@@ -106,6 +106,7 @@ _ENTRY = np.dtype([("token", "<u4"), ("sig", "<u8"), ("bits", "<u8"), ("more_bit
 _MAX_N, _MAX_POS = (1 << 20) - 1, (1 << 12) - 1  # beyond these the filters let a pair pass
 _LONE = 2  # the rarity of a cell that one token of the corpus fell in
 KEEP, WINDOW = 1024, 4096
+TILED, _TILE = 1024, (64, 2048)  # pairs of a group from which on it is compared in tiles, and entries by entries in a tile
 PART_BYTES = 32 << 20  # of prefix entries in a partition, by an estimate of 6 bytes a token
 
 
@@ -183,13 +184,16 @@ class Likeliest:
 
     def __init__(self, keep: int | None):
         self.keep, self.held, self.size, self.more = keep, [], 0, [np.zeros(0, U64)]
+        self.limit = 1 << 20
 
     def add(self, late: np.ndarray, early: np.ndarray, apart: np.ndarray) -> None:
         self.held.append((late, early, apart))
         self.size += len(late)
-        if self.size > 1 << 20:
+        if self.size > self.limit:
             self.held = [self.best()]
-            self.size = len(self.held[0][0]) if self.keep else 0
+            self.size = len(self.held[0][0])
+            # what stays may be more than the limit: sorted again only when as much has come in addition
+            self.limit = max(1 << 20, 2 * self.size)
 
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.held:
@@ -207,6 +211,49 @@ class Likeliest:
         return late, early, apart
 
 
+def _within(bits: tuple[np.ndarray, np.ndarray], bound: np.ndarray, group: np.ndarray, one: np.ndarray, lo: np.ndarray, hi: np.ndarray, target: np.ndarray, step: int):
+    """Yields (a, b, apart): each entry a of one with those of target[lo:hi] whose bitmaps differ in at most bound[a] places.
+
+    Entries are in the order of their groups, and lo and hi rise within each. Large groups are compared in tiles, which
+    costs a few nanoseconds a pair; the others pair by pair, step at once.
+    """
+    count = np.maximum(hi - lo, 0)
+    at = runs(group[one])
+    if not len(at):
+        return
+    end = np.append(at[1:], len(one))
+    tiled = np.add.reduceat(count, at) >= TILED
+    rows = np.flatnonzero(np.repeat(~tiled, end - at) & (count > 0))
+    ends = np.cumsum(count[rows])
+    p = 0
+    while p < len(rows):
+        q = max(p + 1, int(np.searchsorted(ends, ends[p] - count[rows[p]] + step, side="right")))
+        r = rows[p:q]
+        c = count[r]
+        a = np.repeat(one[r], c)
+        b = target[np.repeat(lo[r] - np.cumsum(c) + c, c) + np.arange(len(a))]
+        apart = np.bitwise_count(bits[0][a] ^ bits[0][b])
+        apart += np.bitwise_count(bits[1][a] ^ bits[1][b])
+        ok = np.flatnonzero(apart <= bound[a])
+        yield a[ok], b[ok], apart[ok]
+        p = q
+    for s, t in zip(at[tiled], end[tiled], strict=True):
+        asking = s + np.flatnonzero(count[s:t])
+        for p in range(0, len(asking), _TILE[0]):
+            r = asking[p : p + _TILE[0]]
+            x = [w[one[r], None] for w in bits]
+            most = bound[one[r], None]
+            last = int(hi[r].max())
+            for u in range(int(lo[r].min()), last, _TILE[1]):
+                col = target[u : min(u + _TILE[1], last)]
+                apart = np.bitwise_count(x[0] ^ bits[0][col])
+                apart += np.bitwise_count(x[1] ^ bits[1][col])
+                row, c = np.divmod(np.flatnonzero(apart <= most), len(col))
+                ok = (u + c >= lo[r[row]]) & (u + c < hi[r[row]])
+                row, c = row[ok], c[ok]
+                yield one[r[row]], col[c], apart[row, c]
+
+
 def _pairs(e: np.ndarray, num: int, den: int, keep: int | None, window: int | None, only: np.ndarray | None, step: int) -> list[dict]:
     """Of a partition's prefix entries the candidates of each set (kind 2) and all sets in them (kind 3).
 
@@ -241,17 +288,15 @@ def _pairs(e: np.ndarray, num: int, den: int, keep: int | None, window: int | No
         mine = hits(only, e["sig"])
         those, rest = i[mine], i[~mine]
         asked = [(those, those + 1, far[those], i), (rest, np.searchsorted(those, rest), np.searchsorted(those, far[rest]), those)]
+    # of a similar pair the shorter set meets the other in its first tokens: n - pos is what both can share from there on
+    reach = np.where(n == _MAX_N, _MAX_N, den * n // num) >= _MAX_N
+    short = (n - pos < -(-2 * num * n // (num + den))) & ~reach
+    # sets of n and at most n * den / num tokens differ in at most so many
+    bound = np.where(reach, 255, np.minimum(255, n * (den - num) // num)).astype(np.uint8)
+    bits = np.ascontiguousarray(e["bits"]), np.ascontiguousarray(e["more_bits"])
     for one, lo, hi, target in asked:
-        count = np.maximum(hi - lo, 0)
-        ends = np.cumsum(count)
-        p = 0
-        while p < len(one):
-            q = max(p + 1, int(np.searchsorted(ends, ends[p] - count[p] + step, side="right")))
-            c = count[p:q]
-            a = np.repeat(one[p:q], c)
-            b = target[np.repeat(lo[p:q], c) + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)]
+        for a, b, apart in _within(bits, bound, group, one, lo, np.where(short[one], lo, hi), target, step):
             need = -(-num * (n[a] + n[b]) // (num + den))
-            apart = np.bitwise_count(e["bits"][a] ^ e["bits"][b]) + np.bitwise_count(e["more_bits"][a] ^ e["more_bits"][b])
             ok = (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need) & (apart <= n[a] + n[b] - 2 * need) | (n[b] == _MAX_N)
             a, b, apart = a[ok], b[ok], apart[ok]
             for late, early in ((a, b), (b, a)):
@@ -259,7 +304,6 @@ def _pairs(e: np.ndarray, num: int, den: int, keep: int | None, window: int | No
                 if only is not None:
                     way &= mine[late]
                 likeliest.add(e["sig"][late[way]], e["sig"][early[way]], apart[way])
-            p = q
     late, early, apart = likeliest.best()
     more = np.unique(np.concatenate([*likeliest.more, e["sig"][unseen]]))
     every = np.union1d(late, more)

@@ -121,6 +121,37 @@ def test_lines_against_brute_force(spark, threshold, how):
         assert len(a & b) >= threshold * len(a | b) - 1e-12 and (r["m_id"], r["m_text"], r["m_line"]) < (r["k_id"], r["k_text"], r["line"])
 
 
+@pytest.mark.parametrize("tiled", [1, 1 << 40])
+def test_tiles_and_single_pairs_find_all_candidates(monkeypatch, tiled):
+    rng = random.Random(11)
+    base = [sorted({f"w{rng.randint(0, 40)}" for _ in range(rng.randint(4, 30))}) for _ in range(40)]
+    texts = [" ".join(rng.sample(b, max(1, len(b) - rng.randint(0, 2))) + ["x"] * rng.randint(0, 1)) for b in base for _ in range(8)]
+    monkeypatch.setattr(lines, "TILED", tiled)
+    monkeypatch.setattr(lines, "_TILE", (3, 5))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["k_id", "k_text", "text"])
+    rank = np.zeros(lines._CELLS, np.uint8)
+    packed = pa.Table.from_batches(b for b in lines._signatures(rank, 4, 5, 1)([batch]) if b.column("kind")[0].as_py() == 1)
+    every = np.concatenate([lines.Lines(d, o, rank).sig for _, d, o in chunks(pa.array(texts))])
+    first: dict[int, tuple[int, set]] = {}
+    for i, (s, t) in enumerate(zip(every, texts, strict=True)):
+        first.setdefault(int(s), (i, set(t.split())))
+    want = {(a, b) for a, (i, x) in first.items() for b, (j, y) in first.items() if j < i and 5 * len(x & y) >= 4 * len(x | y)}
+    for only in (None, np.full(1 << 14, 2**64 - 1, np.uint64)):
+        got = lines._pairs(lines.unpack(packed, lines._ENTRY), 4, 5, None, None, only, 100)[0]
+        pairs = {(int(a), int(b)) for a, x in zip(got["a"].view(np.uint64), got["others"], strict=True) for b in x.values.to_numpy().view(np.uint64)}
+        assert want <= pairs and len(want) > 100
+
+
+def test_noted_candidates_are_sorted_seldom(monkeypatch):
+    sorts, best = [], lines.Likeliest.best
+    monkeypatch.setattr(lines.Likeliest, "best", lambda self: sorts.append(1) or best(self))
+    x, n = lines.Likeliest(4), (1 << 20) + 1
+    x.add(np.arange(n, dtype=np.uint64), np.arange(n, dtype=np.uint64), np.zeros(n, np.uint8))
+    for k in range(40):
+        x.add(np.array([k], np.uint64), np.array([n + k], np.uint64), np.array([1], np.uint8))
+    assert len(sorts) == 1 and len(x.best()[0]) == n + 40
+
+
 def test_lines_are_cut_out(spark):
     d = spark.createDataFrame([(2, "new one here\n\nsame old line of text"), (1, "same old line of text\nother words")], "doc_id long, text string")
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.drop_similar_lines(d, counted=True).collect()}
