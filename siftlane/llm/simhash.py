@@ -192,39 +192,94 @@ def _scatter(parts: int):
 _EDGES = pa.schema([(f"{s}{i}", pa.int64()) for s in "ab" for i in range(4)])
 
 
-def _compare(block_k: int, cover_k: int, confirm_k: int, tile: int = 1024):
+def _root(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The root of each of x; parents of x become roots."""
+    up = parent[x]
+    while True:
+        over = parent[up]
+        if (over == up).all():
+            break
+        up = over
+    parent[x] = up
+    return up
+
+
+def _union(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the trees of x and y pair by pair; a root hangs from a smaller one."""
+    while len(x):
+        x, y = _root(parent, x), _root(parent, y)
+        apart = x != y
+        x, y = x[apart], y[apart]
+        parent[np.maximum(x, y)] = np.minimum(x, y)
+
+
+def _distinct(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are the first of their value, and each row's number among them."""
+    h = f[:, 0].copy()
+    for i in range(1, 4):
+        h = mix(h) ^ f[:, i]
+    order = np.argsort(h)
+    g = f[order]
+    new = np.append(True, (g[1:] != g[:-1]).any(axis=1))
+    number = np.empty(len(f), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def _compare(block_k: int, cover_k: int, confirm_k: int, tile: int = 1024, forest: bool = False):
+    """All near pairs of a partition, or with forest as few that connect the same fingerprints: at most one for each
+    fingerprint, while pairs are n * n of a group of near copies; those that are connected already are not compared."""
+
     def run(table: pa.Table) -> pa.Table:
         rec = np.concatenate([np.frombuffer(x, _ROW) for x in table.column("rows").to_pylist()])
         rec = rec[np.argsort(rec["key"], kind="stable")]
         f = np.stack([rec[f"f{i}"] for i in range(4)], axis=1)
         cut = np.flatnonzero(np.diff(rec["key"], prepend=rec["key"][:1] + np.uint32(1)))
         left, right = [], []
+        if forest:
+            one, node = _distinct(f)
+            parent = np.arange(len(one))
         for a, b in zip(cut, [*cut[1:], len(rec)], strict=True):
             if b - a < 2:
                 continue
             word = _block(f[a:b], int(rec["key"][a]) >> 16).astype(np.uint32)
             for i in range(0, b - a, tile):
                 for j in range(i, b - a, tile):
-                    p, q = np.nonzero(np.bitwise_count(word[i : i + tile, None] ^ word[None, j : j + tile]) <= block_k)
+                    near = np.bitwise_count(word[i : i + tile, None] ^ word[None, j : j + tile]) <= block_k
+                    if forest and near.size > 1 << 14:
+                        near &= _root(parent, node[a + i : min(a + i + tile, b)])[:, None] != _root(parent, node[a + j : min(a + j + tile, b)])
+                    p, q = np.nonzero(near)
                     if i == j:
                         p, q = p[p < q], q[p < q]
-                    for k in range(0, len(p), 1 << 18):
-                        x, y = f[a + i + p[k : k + (1 << 18)]], f[a + j + q[k : k + (1 << 18)]]
-                        d = np.bitwise_count(x ^ y)
+                    for k in range(0, len(p), 1 << 16 if forest else 1 << 18):
+                        x, y = (a + at + r[k : k + (1 << 16 if forest else 1 << 18)] for at, r in ((i, p), (j, q)))
+                        if forest:
+                            open_ = _root(parent, node[x]) != _root(parent, node[y])
+                            x, y = x[open_], y[open_]
+                        d = np.bitwise_count(f[x] ^ f[y])
                         ok = (d[:, 0] + d[:, 1] <= cover_k) & (d[:, 2] + d[:, 3] <= confirm_k)
-                        left.append(x[ok])
-                        right.append(y[ok])
-        pairs = np.zeros((0, 8), U64)
-        if left:
-            pairs = np.unique(np.concatenate([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+                        if forest:
+                            _union(parent, node[x[ok]], node[y[ok]])
+                        else:
+                            left.append(f[x[ok]])
+                            right.append(f[y[ok]])
+        if forest:
+            root = _root(parent, np.arange(len(parent)))
+            tied = np.flatnonzero(root != np.arange(len(parent)))
+            pairs = np.concatenate([f[one[root[tied]]], f[one[tied]]], axis=1)
+        else:
+            pairs = np.zeros((0, 8), U64)
+            if left:
+                pairs = np.unique(np.concatenate([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
         return pa.Table.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in range(8)], schema=_EDGES)
 
     return run
 
 
-def near_pairs(prints: DataFrame, block_k: int = BLOCK_K, cover_k: int = COVER_K, confirm_k: int = CONFIRM_K) -> DataFrame:
+def near_pairs(prints: DataFrame, block_k: int = BLOCK_K, cover_k: int = COVER_K, confirm_k: int = CONFIRM_K, forest: bool = False) -> DataFrame:
     """Pairs of distinct fingerprints within all thresholds, from a frame of distinct f0..f3 without nulls; a pair may come
-    more than once. Partitions follow the number of fingerprints."""
+    more than once. Partitions follow the number of fingerprints. With forest only pairs (a representative and a fingerprint
+    connected to it) that give the same connected groups."""
     if block_k > 2:
         raise ValueError("anchors within covering radius + 1 cover 2 bits of a block")
     parts = max(partitions(prints.sparkSession), -(-prints.count() * len(BLOCKS) * 8 * _ROW.itemsize // PART_BYTES))
@@ -233,7 +288,7 @@ def near_pairs(prints: DataFrame, block_k: int = BLOCK_K, cover_k: int = COVER_K
         prints.select("f0", "f1", "f2", "f3")
         .mapInArrow(_scatter(parts), "part int, rows binary")
         .groupBy("part")
-        .applyInArrow(_compare(block_k, cover_k, confirm_k), schema)
+        .applyInArrow(_compare(block_k, cover_k, confirm_k, forest=forest), schema)
     )
 
 
@@ -274,7 +329,7 @@ def _decide(docs: DataFrame) -> DataFrame:
     fp = materialize(fingerprints(docs), "prints")
     node = F.xxhash64("f0", "f1", "f2", "f3")
     prints = materialize(fp.where("f0 is not null").select("f0", "f1", "f2", "f3").distinct(), "distinct")
-    pairs = near_pairs(prints).select(
+    pairs = near_pairs(prints, forest=True).select(
         F.xxhash64("a0", "a1", "a2", "a3").alias("a"), F.xxhash64("b0", "b1", "b2", "b3").alias("b")
     )
     roots = components(prints, pairs)

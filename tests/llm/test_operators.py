@@ -244,6 +244,29 @@ def test_near_pairs_against_brute_force(spark):
     assert got == want and len(want) > 20
 
 
+def test_large_groups_of_near_prints_give_a_forest():
+    rng = np.random.default_rng(7)
+    bits = np.repeat(rng.integers(0, 2, (3, 256), dtype=np.uint8), 500, axis=0)
+    for row in bits:
+        row[rng.choice(120, 12, replace=False)] ^= 1
+    bits[:, 120:128] = 0
+    words = np.packbits(np.unique(bits, axis=0), axis=1, bitorder="little").view(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)], names=["f0", "f1", "f2", "f3"])
+    table = pa.Table.from_batches(simhash._scatter(1)([batch]))
+
+    def groups(pairs: pa.Table) -> set[frozenset]:
+        of = {}
+        for r in zip(*(c.to_pylist() for c in pairs.columns), strict=True):
+            both = of.get(r[:4], {r[:4]}) | of.get(r[4:], {r[4:]})
+            of.update(dict.fromkeys(both, both))
+        return {frozenset(x) for x in of.values()}
+
+    every = simhash._compare(simhash.BLOCK_K, simhash.COVER_K, simhash.CONFIRM_K)(table)
+    for tile in (64, 200, 1024):
+        few = simhash._compare(simhash.BLOCK_K, simhash.COVER_K, simhash.CONFIRM_K, tile, forest=True)(table)
+        assert groups(few) == groups(every) and few.num_rows < len(words) < every.num_rows
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50) if i % 10 != 9] + [(100, 200)]
     got = dict(map(tuple, simhash.components(None, spark.createDataFrame(edges, "a long, b long")).collect()))
