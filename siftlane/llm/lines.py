@@ -10,8 +10,9 @@ cell share a count, which changes their order alone, never the result). Equal se
 so that the join sees each set once. Token identity is a 58-bit hash.
 
 A line goes as soon as one earlier line is known to be similar, so that the likeliest candidates are verified first,
-each set's where near copies of it are. Of each set at most KEEP candidates in a partition are noted, and whether there
-are more; what those leave open is searched again, among all candidates, so that no bound costs a result.
+each set's where near copies of it are. Of each set at most KEEP candidates in a partition are noted, of a crowd of near
+copies the likeliest of each tile, and whether there are more; what those leave open is searched again, among all
+candidates, so that no bound costs a result. A crowd of n near copies has n * n / 2 pairs, and few of its sets stay open.
 """
 
 from __future__ import annotations
@@ -105,7 +106,8 @@ _OCC = np.dtype([("sig", "<u8"), ("id", "<i8"), ("text", "<i8"), ("line", "<i4")
 _ENTRY = np.dtype([("token", "<u4"), ("sig", "<u8"), ("bits", "<u8"), ("more_bits", "<u8"), ("n_pos", "<u4"), ("age", "<u4")])
 _MAX_N, _MAX_POS = (1 << 20) - 1, (1 << 12) - 1  # beyond these the filters let a pair pass
 _LONE = 2  # the rarity of a cell that one token of the corpus fell in
-KEEP, WINDOW = 1024, 4096
+KEEP, WINDOW = 32, 4096
+CROWD = 16  # one in so many pairs of a tile near: of these each entry's likeliest are taken alone
 TILED, _TILE = 1024, (64, 2048)  # pairs of a group from which on it is compared in tiles, and entries by entries in a tile
 PART_BYTES = 32 << 20  # of prefix entries in a partition, by an estimate of 6 bytes a token
 
@@ -211,11 +213,24 @@ class Likeliest:
         return late, early, apart
 
 
-def _within(bits: tuple[np.ndarray, np.ndarray], bound: np.ndarray, group: np.ndarray, one: np.ndarray, lo: np.ndarray, hi: np.ndarray, target: np.ndarray, step: int):
+def _closest(apart: np.ndarray, near: np.ndarray, row_age: np.ndarray, col_age: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the near pairs of a tile that have the fewest differing bits of all in which a row, or a column, is the later."""
+    none, row_age = np.uint8(255), row_age[:, None]
+    x = np.where(near & (row_age >= col_age), apart, none)
+    col = x.argmin(1)
+    rows = np.flatnonzero(x[np.arange(len(x)), col] < none)
+    x = np.where(near & (row_age <= col_age), apart, none)
+    row = x.argmin(0)
+    cols = np.flatnonzero(x[row, np.arange(x.shape[1])] < none)
+    return np.append(rows, row[cols]), np.append(col[rows], cols)
+
+
+def _within(bits: tuple[np.ndarray, np.ndarray], bound: np.ndarray, group: np.ndarray, one: np.ndarray, lo: np.ndarray, hi: np.ndarray, target: np.ndarray, step: int, age: np.ndarray, crowded: np.ndarray | None = None):
     """Yields (a, b, apart): each entry a of one with those of target[lo:hi] whose bitmaps differ in at most bound[a] places.
 
     Entries are in the order of their groups, and lo and hi rise within each. Large groups are compared in tiles, which
-    costs a few nanoseconds a pair; the others pair by pair, step at once.
+    costs a few nanoseconds a pair; the others pair by pair, step at once. With crowded only the closest pairs of a tile
+    where one in CROWD is near, and crowded is set for all entries of the others.
     """
     count = np.maximum(hi - lo, 0)
     at = runs(group[one])
@@ -248,7 +263,16 @@ def _within(bits: tuple[np.ndarray, np.ndarray], bound: np.ndarray, group: np.nd
                 col = target[u : min(u + _TILE[1], last)]
                 apart = np.bitwise_count(x[0] ^ bits[0][col])
                 apart += np.bitwise_count(x[1] ^ bits[1][col])
-                row, c = np.divmod(np.flatnonzero(apart <= most), len(col))
+                near = apart <= most
+                if crowded is not None and np.count_nonzero(near) * CROWD > near.size:
+                    place = np.arange(u, u + len(col))
+                    near &= (place >= lo[r, None]) & (place < hi[r, None])
+                    crowded[one[r[near.any(1)]]] = True
+                    crowded[col[near.any(0)]] = True
+                    row, c = _closest(apart, near, age[one[r]], age[col])
+                    yield one[r[row]], col[c], apart[row, c]
+                    continue
+                row, c = np.divmod(np.flatnonzero(near), len(col))
                 ok = (u + c >= lo[r[row]]) & (u + c < hi[r[row]])
                 row, c = row[ok], c[ok]
                 yield one[r[row]], col[c], apart[row, c]
@@ -259,8 +283,8 @@ def _pairs(e: np.ndarray, num: int, den: int, keep: int | None, window: int | No
 
     Candidates are the sets of earlier lines that pass the length and positional filters and the bitmap filter (a token
     flips one of 128 bits, so that bits differ in no more places than sets do). With keep the likeliest of them, from
-    the next `window` entries of each token by length; `more` says that there may be others. With only all candidates
-    of those sets that it may hold, and no others'.
+    the next `window` entries of each token by length, and of a crowd's tile the likeliest alone; `more` says that there
+    may be others. With only all candidates of those sets that it may hold, and no others'.
     """
     e = e[np.argsort(e["token"])]
     at = runs(e["token"])
@@ -278,10 +302,11 @@ def _pairs(e: np.ndarray, num: int, den: int, keep: int | None, window: int | No
     i = np.arange(len(e))
     likeliest = Likeliest(keep)
     unseen = np.zeros(len(e), bool)
+    crowded = unseen if keep else None
     if only is None:
         asked = [(i, i + 1, far if window is None else np.minimum(far, i + 1 + window), i)]
         if window is not None:
-            unseen = far > i + 1 + window
+            unseen |= far > i + 1 + window
             back = np.maximum(i - window - 1, 0)
             unseen |= (i > window) & (far[back] > i)  # the entry before the window reaches this one
     else:
@@ -295,7 +320,7 @@ def _pairs(e: np.ndarray, num: int, den: int, keep: int | None, window: int | No
     bound = np.where(reach, 255, np.minimum(255, n * (den - num) // num)).astype(np.uint8)
     bits = np.ascontiguousarray(e["bits"]), np.ascontiguousarray(e["more_bits"])
     for one, lo, hi, target in asked:
-        for a, b, apart in _within(bits, bound, group, one, lo, np.where(short[one], lo, hi), target, step):
+        for a, b, apart in _within(bits, bound, group, one, lo, np.where(short[one], lo, hi), target, step, e["age"], crowded):
             need = -(-num * (n[a] + n[b]) // (num + den))
             ok = (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need) & (apart <= n[a] + n[b] - 2 * need) | (n[b] == _MAX_N)
             a, b, apart = a[ok], b[ok], apart[ok]

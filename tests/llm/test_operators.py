@@ -142,6 +142,42 @@ def test_tiles_and_single_pairs_find_all_candidates(monkeypatch, tiled):
         assert want <= pairs and len(want) > 100
 
 
+def _crowd(n: int) -> list[str]:
+    """Lines that are near copies of one, of which some lost too much to be similar to all others."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(3000)]
+    base = rng.sample(vocab, 40)
+    share = [rng.choice((0.01, 0.03, 0.05, 0.1, 0.15)) for _ in range(n)]
+    return [" ".join(w if rng.random() > p else rng.choice(vocab) for w in base) for p in share]
+
+
+def test_a_crowd_of_near_copies_notes_few_candidates():
+    for n in (400, 1600):
+        texts = _crowd(n)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], names=["k_id", "k_text", "text"])
+        rank = np.full(lines._CELLS, 5, np.uint8)
+        packed = pa.Table.from_batches(b for b in lines._signatures(rank, 4, 5, 1)([batch]) if b.column("kind")[0].as_py() == 1)
+        got = lines._pairs(lines.unpack(packed, lines._ENTRY), 4, 5, lines.KEEP, lines.WINDOW, None, 1 << 18)[0]
+        has = {int(a): set(x.values.to_numpy().view(np.uint64).tolist()) for a, x in zip(got["a"].view(np.uint64), got["others"], strict=True)}
+        more = set(got["a"].view(np.uint64)[got["more"]].tolist())
+        assert max(map(len, has.values())) <= 32
+        # nothing is lost: an earlier similar set is noted, or the set is known to have more
+        first: dict[int, set] = {}
+        for t, s in zip(texts, np.concatenate([lines.Lines(d, o, rank).sig for _, d, o in chunks(pa.array(texts))]).tolist(), strict=True):
+            if s not in first and n == 400:
+                assert s in more or {r for r, y in first.items() if 5 * len(set(t.split()) & y) >= 4 * len(set(t.split()) | y)} <= has.get(s, set())
+            first.setdefault(s, set(t.split()))
+
+
+def test_a_crowd_of_near_copies_against_brute_force(spark):
+    texts = _crowd(700)
+    sets = [set(t.split()) for t in texts]
+    want = {j for j in range(len(sets)) if any(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for i in range(j))}
+    got = lines.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["k_id"] for r in got} == want and 0 < len(want) < len(texts) - 1
+    assert all(5 * len(sets[r["m_id"]] & sets[r["k_id"]]) >= 4 * len(sets[r["m_id"]] | sets[r["k_id"]]) and r["m_id"] < r["k_id"] for r in got)
+
+
 def test_noted_candidates_are_sorted_seldom(monkeypatch):
     sorts, best = [], lines.Likeliest.best
     monkeypatch.setattr(lines.Likeliest, "best", lambda self: sorts.append(1) or best(self))
