@@ -159,6 +159,20 @@ def looks_like_json(c: Column | str) -> Column:
     return as_column(c).rlike(r"(?U)^\s*[\[{]")
 
 
+_JSON = {"allowSingleQuotes": "false", "maxNumLen": "2147483647", "maxStringLen": "2147483647"}
+
+
+def is_json(c: Column | str) -> Column:
+    """Is the whole text one JSON value, as json.loads has it? Null, blank and over 1,000 deep it is none.
+
+    Spark's parsers stop behind the first value. So the text is read as the first of two elements: the text's own digest
+    comes second only if nothing but one value is before it."""
+    c = as_column(c)
+    digest = F.md5(c)
+    pair = F.from_json(F.concat(F.lit("["), c, F.lit(', "'), digest, F.lit('"]')), "array<string>", _JSON)
+    return F.coalesce(F.get(pair, F.lit(1)) == digest, F.lit(False))
+
+
 def decode(content: Column | str, strict: bool = False, bom: bool = False) -> Column:
     """UTF-8 bytes as text; bad ones become U+FFFD, or with strict end the query. bom: a leading mark goes."""
     content = as_column(content)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlane.functions.text import file_name
+from siftlane.functions.text import file_name, is_json
 
 SHOWN = 20
 
@@ -25,7 +25,7 @@ def wellformed(content: Column | str) -> Column:
     """Has the text a line that isn't blank, and is the first such line JSON?"""
     content = F.regexp_replace(F.col(content) if isinstance(content, str) else content, "^﻿", "")
     first = F.get(F.filter(F.split(content, "\n"), lambda x: x.rlike(r"(?U)\S")), F.lit(0))
-    return F.coalesce(F.try_parse_json(first).isNotNull(), F.lit(False))
+    return is_json(first)
 
 
 def added(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def last_summary(log: DataFrame) -> DataFrame:
     """s: the last well-formed summary of (lineno, line) rows; null if there is none."""
     schema = "transcripts_copied long, transcripts_skipped long, tool_results_copied long, memory_copied long, errors long, dry_run boolean"
     json = F.regexp_extract("line", r"^\s*MACHINE_SUMMARY\s+(\{.*\})\s*$", 1)
-    rows = log.select("lineno", json.alias("json")).where(F.try_parse_json("json").isNotNull() & (F.col("json") != ""))
+    rows = log.select("lineno", json.alias("json")).where(is_json("json"))
     return rows.agg(F.from_json(F.max_by("json", "lineno"), schema).alias("s"))
 
 
