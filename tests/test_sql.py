@@ -42,7 +42,7 @@ def test_a_summary_is_json_as_a_whole(spark):
 LINES = [[0, 48, 48, 48, 48], [1] * 7 + [49] * 9, [0, 0, 4], [0, 4, 4, 60, 60], [0, 80, 0, 0], [0, 56, 60, 60, 64], [3], [0, 0], [0, 6, 0, 99, 0, 52, 52]]
 
 
-@pytest.mark.parametrize("name", ["section_reflow"])
+@pytest.mark.parametrize("name", ["section_reflow", "section_markdown", "section_slice"])
 def test_gaps_of_just_so_many_medians(spark, tmp_path, name):
     text = lambda n, k: "\n".join(["Heading", *(f"{chr(98 + k)}" + "b" * (100 * x) + " c." for x in n)])
     rows = [(10 * i + k, "a\n" * k + text(n, k)) for i, n in enumerate(LINES) for k in range(4)]
