@@ -15,7 +15,7 @@ from pyspark.sql.functions import pandas_udf
 from siftlane.functions import spans
 from siftlane.functions.text import url_token
 from siftlane.operators import keywords as kw
-from siftlane.operators.documents import _loads, json, redact_cells, rewrite_html, walk
+from siftlane.operators.documents import _loads, batched, json, redact_cells, rewrite_html, walk
 from siftlane.operators.redact import Redactor
 
 _STRINGS = T.ArrayType(T.StringType())
@@ -34,7 +34,7 @@ def _put_json(text: str, new, nested: bool) -> str | None:
     return None if obj is None else json.dumps(walk(obj, lambda _: next(it), nested), ensure_ascii=False, indent=2) + "\n"
 
 
-@pandas_udf(T.BooleanType())
+@batched(T.BooleanType())
 def parses(texts: pd.Series) -> pd.Series:
     """Is it JSON?"""
     return texts.map(lambda t: t is not None and _loads(t) is not None)
@@ -89,13 +89,13 @@ def redact_html(rows: DataFrame, redactor: Redactor) -> DataFrame:
     whose own words are no URL gets its service's label behind them."""
     both = T.StructType([T.StructField("texts", _STRINGS), T.StructField("links", _STRINGS)])
 
-    @pandas_udf(both)
+    @batched(both)
     def take(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_take_html(t or "") for t in texts], columns=["texts", "links"])
 
     labelled = "URL" in redactor.entities
 
-    @pandas_udf(T.StringType())
+    @batched(T.StringType())
     def put(texts: pd.Series, new: pd.Series, links: pd.Series, hrefs: pd.Series, labels: pd.Series) -> pd.Series:
         return pd.Series([
             None if t is None else _put_html(t, n, h, dict(zip(k, b, strict=True)) if labelled else None)
@@ -121,11 +121,11 @@ def redact_csv(rows: DataFrame, redactor: Redactor) -> DataFrame:
 def leaf_rows(text: DataFrame, html: DataFrame, js: DataFrame, csv: DataFrame, nested: bool = True) -> DataFrame:
     """(path, text), a row for every text that the redactor sees in files of all formats: what a report counts."""
 
-    @pandas_udf(_STRINGS)
+    @batched(_STRINGS)
     def from_html(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [x for part in _take_html(t or "") for x in part])
 
-    @pandas_udf(_STRINGS)
+    @batched(_STRINGS)
     def from_json(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else _take_json(t, nested))
 

@@ -9,6 +9,7 @@ import subprocess
 import sys
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,17 @@ def test_redaction_inside_formats(spark):
     cells = spark.createDataFrame([("0", [["Ada", "a@b.org"], ["x"]])], "path string, cells array<array<string>>")
     c = structured.redact_csv(cells, r).first()
     assert c["cells"] == [["[P-01]", "█████"], ["x"]] and c["n_redactions"] == 2
+
+
+def test_parsers_get_small_batches(spark):
+    rows = documents.BATCH["maxRecordsPerBatch"][1]
+    for key, (usual, _) in documents.BATCH.items():
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", usual)
+
+    @documents.batched("int")
+    def length(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    most = lambda text: spark.range(0, 3000, 1, 1).select(length(F.expr(text)).alias("n")).agg(F.max("n")).first()[0]
+    assert most("'a'") == int(rows)
+    assert most("repeat('a', 100000)") < 100  # 8 MB
