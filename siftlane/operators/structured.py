@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from siftlane.functions import spans
 from siftlane.functions.text import url_token
@@ -72,11 +71,11 @@ def _all(rows: DataFrame, leaves: str, redactor: Redactor) -> DataFrame:
 def redact_json(rows: DataFrame, redactor: Redactor, nested: bool = True) -> DataFrame:
     """(path, text) with redacted and n_redactions: string values only, JSON inside them too. Null where it doesn't parse."""
 
-    @pandas_udf(_STRINGS)
+    @batched(_STRINGS)
     def take(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else _take_json(t, nested))
 
-    @pandas_udf(T.StringType())
+    @batched(T.StringType())
     def put(texts: pd.Series, new: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else _put_json(t, n, nested) for t, n in zip(texts, new, strict=True)])
 
