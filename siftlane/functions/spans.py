@@ -23,8 +23,9 @@ def matches(text: Column | str, pattern: str) -> Column:
     return F.regexp_extract_all(as_column(text), F.lit(pattern), F.lit(0))
 
 
-def find_all(text: Column | str, pattern: str, entity: str, order: int = 0) -> Column:
-    """Spans of all matches: gaps from split, matches from extract, offsets from a running length."""
+def find_all(text: Column | str, pattern: str, entity: str, order: int = 0, needs: Column | None = None) -> Column:
+    """Spans of all matches: gaps from split, matches from extract, offsets from a running length. needs: what a text with
+    matches always passes."""
     text = as_column(text)
     # both arrays are the folded value, never named inside the fold, where they would be computed anew at each step
     zipped = F.arrays_zip(F.split(text, pattern).alias("g"), matches(text, pattern).alias("m"))
@@ -37,7 +38,8 @@ def find_all(text: Column | str, pattern: str, entity: str, order: int = 0) -> C
         return F.when(z["m"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
     none = F.array().cast(_NONE)
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(none)
+    some = text.rlike(pattern) if needs is None else needs & text.rlike(pattern)
+    return F.when(some, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(none)
 
 
 def deoverlap(spans: Column) -> Column:
@@ -72,11 +74,42 @@ def merge_overlaps(spans: Column) -> Column:
     return F.aggregate(order, F.array().cast(_NONE), step)
 
 
+#: Four bytes a character, so that a slice is found without counting characters from the start. The decoder takes a first mark away.
+_WIDE, _MARK = "UTF-32", bytes.fromhex("0000feff")
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once and not at each step of the folds inside."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def replace(text: Column | str, kept: Column, replacement) -> Column:
-    """text with each span replaced, last first so that offsets stay true; replacement: span -> Column."""
+    """text with each span replaced; replacement: span -> Column. Linear, but for spans that overlap in part: they are spliced
+    into the whole text, last first so that offsets stay true."""
     text = as_column(text)
-    back = F.array_sort(kept, lambda a, b: F.when(a["s"] != b["s"], b["s"] - a["s"]).otherwise(a["ord"] - b["ord"]))
-    return F.aggregate(back, text, lambda buf, x: F.overlay(buf, replacement(x), x["s"] + 1, x["e"] - x["s"]))
+
+    def spliced(z: Column) -> Column:
+        back = F.array_sort(z["k"], lambda a, b: F.when(a["s"] != b["s"], b["s"] - a["s"]).otherwise(a["ord"] - b["ord"]))
+        return F.aggregate(back, text, lambda buf, x: F.overlay(buf, replacement(x), x["s"] + 1, x["e"] - x["s"]))
+
+    def joined(z: Column) -> Column:
+        def end(i: Column) -> Column:
+            return F.coalesce(F.get(z["k"], i)["e"], F.lit(0))
+
+        def between(a: Column, b: Column) -> Column:
+            return F.decode(F.concat(F.lit(_MARK), F.substr(z["b"], a * 4 + 1, (b - a) * 4)), _WIDE)
+
+        parts = F.flatten(F.transform(z["k"], lambda x, i: F.array(between(end(i - 1), x["s"]), replacement(x))))
+        last = between(end(F.size(z["k"]) - 1), (F.length(z["b"]) / 4).cast("int"))
+        return F.array_join(F.concat(parts, F.array(last)), "")
+
+    def either(z: Column) -> Column:
+        overlap = F.exists(F.transform(z["k"], lambda x, i: F.coalesce(F.get(z["k"], i - 1)["e"] > x["s"], F.lit(False))), lambda o: o)
+        return F.when(overlap, spliced(z)).otherwise(joined(z))
+
+    spans = F.array_sort(kept, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["ord"] - a["ord"]))
+    held = F.struct(F.encode(text, _WIDE).alias("b"), spans.alias("k"))
+    return F.when(F.size(kept) == 0, text).when(text.isNotNull() & kept.isNotNull(), _once(held, either))
 
 
 def not_blank(text: Column | str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +188,31 @@ def test_boxes_and_decoding(spark):
     with pytest.raises(Exception, match="MALFORMED|malformed"):
         raw.select(tx.decode("b", strict=True)).collect()
     assert spark.range(1).select(tx.iso_time(F.lit(1.5))).first()[0] == "1970-01-01T00:00:01.500000"
+
+
+def test_replace_is_linear_and_keeps_every_sign(spark):
+    signs = "a\ufeff\u00e9\u6f22\U0001f600\n"
+    text = "\ufeff" + "".join(signs[i % 6] for i in range(600_000))
+    at = range(1, 600_001, 20)
+    rows = spark.createDataFrame([(text,)], "text string")
+    kept = F.transform(F.sequence(F.lit(1), F.lit(600_000), F.lit(20)), lambda s: F.struct(F.lit("E").alias("entity"), s.alias("s"), (s + 2).alias("e"), F.lit(0).alias("ord"), F.lit("").alias("text")))
+    began = time.time()
+    got = rows.select(spans.replace("text", kept, lambda _: F.lit("[\U0001f600]")).alias("x")).first()["x"]
+    assert time.time() - began < 20  # the text was scanned and copied anew for each span: minutes
+    assert got == text[:1] + "".join("[\U0001f600]" + text[s + 2 : s + 20] for s in at)
+
+
+def test_partial_overlaps_are_spliced_last_first(spark):
+    span = lambda s, e: ("E", s, e, 0, "")
+    rows = spark.createDataFrame([("abcdefghij", [span(0, 2), span(3, 6), span(5, 8)])], f"t string, k array<{spans.SPAN}>")
+    assert rows.select(spans.replace("t", F.col("k"), lambda _: F.lit("<>")).alias("x")).first()["x"] == "<>c<>>ij"
+
+
+def test_needs_let_every_match_pass(spark):
+    found = {
+        "EMAIL_ADDRESS": "a@b.org", "PHONE_NUMBER": "+1 (654) 555-4136", "CREDIT_CARD": "4111 1111 1111 1111", "CRYPTO": "1BoatSLRHtKNngkdXEeobR76b53LETtpyT", "IBAN_CODE": "DE89 3704 0044 0532 0130 00",
+        "IP_ADDRESS": "fe:ab:cd:ef:fe:ab:cd:ef", "US_SSN": "123-45-6789", "US_BANK_NUMBER": "account 12345678", "US_DRIVER_LICENSE": "A123-4567-8901", "US_ITIN": "912-70-1234", "US_PASSPORT": "passport A12345678", "MEDICAL_LICENSE": "AB1234567", "URL": "http://a.b",
+    }
+    assert set(found) == set(rec.PATTERNS)
+    for entity, text in found.items():
+        assert len(one(spark, f"x {text} y", rec.PATTERNS[entity].find("t", 0))) == 1, entity
