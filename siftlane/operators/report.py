@@ -44,6 +44,14 @@ def grand_total(tally: DataFrame, keywords: DataFrame) -> DataFrame:
     return parts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("grand_total"))
 
 
+def grand_total_of(tally: DataFrame, table: DataFrame) -> DataFrame:
+    """grand_total of a tally and its own keywords, those of table. The tally is read once: two branches would each search all texts,
+    as Spark moves their filters below it."""
+    own = table.select(F.concat(F.lit("KW_"), F.col("idx").cast("string")).alias("entity"), F.lit(True).alias("known"))
+    rows = tally.join(F.broadcast(own), "entity", "left").where(~F.col("entity").startswith("KW_") | F.col("known"))
+    return rows.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("grand_total"))
+
+
 def engaged(entities: list[str], models: bool, keywords: list) -> dict[str, bool]:
     return {
         "pattern": any(e in REGEX_ENTITIES for e in entities),

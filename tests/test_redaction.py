@@ -16,6 +16,7 @@ from siftlane.operators import recognizers as rec
 from siftlane.operators import report
 from siftlane.operators.keywords import BLOCK, Keyword
 from siftlane.operators.redact import Redactor, scan, tally
+from siftlane.plans import queries
 
 
 def one(spark, text, column):
@@ -216,3 +217,10 @@ def test_needs_let_every_match_pass(spark):
     assert set(found) == set(rec.PATTERNS)
     for entity, text in found.items():
         assert len(one(spark, f"x {text} y", rec.PATTERNS[entity].find("t", 0))) == 1, entity
+
+
+def test_a_total_searches_the_texts_once(spark, tmp_path):
+    spark.createDataFrame([(1, "the a@b.org and The 10.0.0.1")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    total = queries.queries()["grand_total"](spark, str(tmp_path))
+    assert total.first()[0] == 5
+    assert total._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
