@@ -83,15 +83,18 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def splice(text: Column | str, kept: Column, replacement) -> Column:
+    """text with each span replaced, last first so that offsets stay true. Each copies the whole text: for short ones, such as
+    the texts inside a page, where Spark cannot hand replace's folds to a parser's UDF."""
+    back = F.array_sort(kept, lambda a, b: F.when(a["s"] != b["s"], b["s"] - a["s"]).otherwise(a["ord"] - b["ord"]))
+    return F.aggregate(back, as_column(text), lambda buf, x: F.overlay(buf, replacement(x), x["s"] + 1, x["e"] - x["s"]))
+
+
 def replace(text: Column | str, kept: Column, replacement) -> Column:
     """text with each span replaced; replacement: span -> Column. Linear, but for spans that overlap in part: they are spliced
     into the whole text, last first so that offsets stay true."""
     text = as_column(text)
 
-    def spliced(z: Column) -> Column:
-        back = F.array_sort(z["k"], lambda a, b: F.when(a["s"] != b["s"], b["s"] - a["s"]).otherwise(a["ord"] - b["ord"]))
-        return F.aggregate(back, text, lambda buf, x: F.overlay(buf, replacement(x), x["s"] + 1, x["e"] - x["s"]))
-
     def joined(z: Column) -> Column:
         def end(i: Column) -> Column:
             return F.coalesce(F.get(z["k"], i)["e"], F.lit(0))
@@ -105,7 +108,7 @@ def replace(text: Column | str, kept: Column, replacement) -> Column:
 
     def either(z: Column) -> Column:
         overlap = F.exists(F.transform(z["k"], lambda x, i: F.coalesce(F.get(z["k"], i - 1)["e"] > x["s"], F.lit(False))), lambda o: o)
-        return F.when(overlap, spliced(z)).otherwise(joined(z))
+        return F.when(overlap, splice(text, z["k"], replacement)).otherwise(joined(z))
 
     spans = F.array_sort(kept, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["ord"] - a["ord"]))
     held = F.struct(F.encode(text, _WIDE).alias("b"), spans.alias("k"))

@@ -54,7 +54,7 @@ def _put_html(text: str, texts, hrefs, labels: dict[str, str] | None) -> str:
 def _new(redactor: Redactor, text: Column, kept: Column) -> Column:
     if redactor.mode == "keyword":
         return kw.redact(text, list(redactor.keywords), redactor.replacement)
-    return spans.replace(text, kept, redactor.new_text)
+    return spans.splice(text, kept, redactor.new_text)
 
 
 def _all(rows: DataFrame, leaves: str, redactor: Redactor) -> DataFrame:
